@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.ngram_join import op1_ngram_jaccard_join
+from quern.llm.packing import op2_best_fit_packing
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_best_fit_packing": op2_best_fit_packing}
 ORACLES: dict[str, str] = {}
