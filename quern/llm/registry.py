@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from quern.llm import url_filter
+from quern.llm.fingerprint import op9_fingerprints
 from quern.llm.ngram_join import op1_ngram_jaccard_join
 from quern.llm.packing import op2_best_fit_packing
+from quern.llm.pii import op4_pii
+from quern.llm.quality import op5_quality
+from quern.llm.secrets import op10_secrets
+from quern.llm.toxicity import op3_toxicity
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_best_fit_packing": op2_best_fit_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_secrets": op10_secrets,
+}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
