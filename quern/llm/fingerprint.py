@@ -21,28 +21,34 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (pos, hash) of the text's closed syncmers, by position in code points. A text shorter than k is one anchor; an empty or null one has none."""
+def _anchors(text: Column, use, k: int = K, s: int = S) -> Column:
+    """Array of use(i, hash) of the text's closed syncmers, i their position in code points.
 
-    def anchors(b: Column) -> Column:
-        n = (F.length(b) / 4).cast("int")
-        part = lambda i, m: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * m)))
+    A k-mer's hash is made of its first and last s-mer's, which cover it (2 * s >= k). A text shorter than k is one anchor; an empty
+    or null one has none.
+    """
 
+    def anchors(b: Column) -> Column:
         def closed(h: Column) -> Column:
             inner = lambda i: [F.get(h, i + j) for j in range(k - s + 1)]
-            at = F.filter(F.sequence(F.lit(0), n - k), lambda i: F.least(*inner(i)) == F.least(inner(i)[0], inner(i)[-1]))
-            return F.transform(at, lambda i: F.struct(i.alias("pos"), part(i, k).alias("hash")))
+            at = F.filter(F.sequence(F.lit(0), F.size(h) - (k - s + 1)), lambda i: F.least(*inner(i)) == F.least(F.get(h, i), F.get(h, i + (k - s))))
+            return F.transform(at, lambda i: use(i, F.xxhash64(F.get(h, i), F.get(h, i + (k - s)))))
 
-        whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(b).alias("hash")))
-        return F.when(n >= k, _let(F.transform(F.sequence(F.lit(0), n - s), lambda i: part(i, s)), closed)).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
+        smers = F.transform(F.sequence(F.lit(1), F.length(b) - (4 * s - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * s))))
+        whole = F.array(use(F.lit(0), F.xxhash64(b)))
+        return F.when(F.length(b) >= 4 * k, _let(smers, closed)).when(F.length(b) > 0, whole).otherwise(F.slice(whole, 1, 0))
 
     return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), anchors)
 
 
+def syncmers(text: Column) -> Column:
+    """Array of (pos, hash) of the text's closed syncmers, by position."""
+    return _anchors(text, lambda i, h: F.struct(i.alias("pos"), h.alias("hash")))
+
+
 def sketch(text: Column, kept: int = KEPT) -> Column:
     """The smallest distinct hashes of the text's syncmers (48 bits each), sorted."""
-    hashes = F.transform(syncmers(text), lambda x: F.pmod(x["hash"], F.lit(1 << 48)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, kept)
+    return F.slice(F.sort_array(F.array_distinct(_anchors(text, lambda _, h: F.pmod(h, F.lit(1 << 48))))), 1, kept)
 
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
