@@ -153,7 +153,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def _digest(spans) -> dict:
     base = F.filter(spans, lambda s: s["kind"].isin(*_BASE))
     text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = {f"n_{k}": F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS[:4]}
+    number = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = {f"n_{k}": number(k) for k in KINDS[:4]}
     return counts | {"base_sha256": F.sha2(text(base), 256), "spans": text(spans)}
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from quern.llm import url_filter
+from quern.llm.decontaminate import op8_decontamination
 from quern.llm.fingerprint import op9_fingerprints
+from quern.llm.lm import op7_lm_score
 from quern.llm.ngram_join import op1_ngram_jaccard_join
 from quern.llm.packing import op2_best_fit_packing
 from quern.llm.pii import op4_pii
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_lm_score": op7_lm_score,
+    "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
 }

@@ -80,7 +80,8 @@ def _text(spans: Column) -> Column:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(documents(spark, sf_dir).select("doc_id", "text", "source"))
     base = F.filter("spans", lambda s: s["no"] < 3)
+    number = lambda no: F.size(F.filter("spans", lambda s: s["no"] == no)).cast("long")
     return found.select(
-        "doc_id", *(F.size(F.filter("spans", lambda s, k=k: s["no"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)),
+        "doc_id", *(number(k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"), "n_live", "n_shared", "most_repos",
     )
