@@ -64,17 +64,15 @@ def _features(docs: DataFrame, bits: int) -> DataFrame:
             at = 0
             for lo, hi, data, off in tx.chunks(batch.column(1)):
                 kinds = list(_all(data, off, bits))
-                flat, counts, ends = [], [], [0]
+                flat, counts = [], []
                 for i in range(hi - lo):
                     f, c = np.unique(np.concatenate([g[e[i] : e[i + 1]] for g, e in kinds]), return_counts=True)
-                    flat.append(f)
-                    counts.append(c)
-                    ends.append(ends[-1] + len(f))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in (flat, counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), *lists], ["doc_id", "label", "buckets", "counts"])
+                    flat.append(f.astype(np.int32).tobytes())
+                    counts.append(c.astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), pa.array(flat, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "buckets", "counts"])
                 at += hi - lo
 
-    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets array<int>, counts array<int>")
+    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, counts binary")
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int = 8, epochs: int = 12, rate: float = 1.0) -> Model:
@@ -106,10 +104,10 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
     return Model(bits, (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: tuple[int, int] = (1500, 3000), bits: int = 18) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: tuple[int, int] = (1200, 1800), bits: int = 18) -> Model:
     """Learns from at most `most` documents of either label outside the held-out fold. Without two classes the model answers the one it saw, or even odds."""
-    got = _features(sample(docs, labels, label, parts, held, most), bits).collect()
-    return train([(r.label, np.array(r.buckets, np.int64), np.array(r.counts, np.float64)) for r in sorted(got, key=lambda r: (r.doc_id, len(r.buckets)))], bits)
+    got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
+    return train([(y, np.frombuffer(f, np.int32), np.frombuffer(c, np.float32)) for y, f, c in zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "counts")), strict=True)], bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -56,7 +56,7 @@ class Sentences:
 
 
 def _features(docs: DataFrame, bits: int) -> DataFrame:
-    """doc_id, label and, by word, its bucket and sentence."""
+    """doc_id, label and, by word, its bucket and sentence, each as bytes of 32-bit integers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,11 +67,11 @@ def _features(docs: DataFrame, bits: int) -> DataFrame:
                 ends = np.searchsorted(word_doc, np.arange(hi - lo + 1))
                 first = np.searchsorted(s.doc, np.arange(hi - lo + 1))
                 rel = s.of - first[word_doc] if len(s.of) else s.of
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (s.buckets, rel)]
+                lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (s.buckets, rel)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), *lists], ["doc_id", "label", "buckets", "sentences"])
                 at += hi - lo
 
-    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets array<int>, sentences array<int>")
+    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, sentences binary")
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int = 12, rate: float = 2.0, sparse: float = 1.0, shrink: float = 0.1, rare: int = 4) -> Model:
@@ -111,9 +111,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0, most: tuple[int, int] = (6000, 3000), bits: int = 20) -> Model:
     """Learns from at most `most` documents of labels 0 and 1 outside the held-out fold. With one class or none the model answers that, or no."""
-    got = _features(sample(docs, labels, label, parts, held, most), bits).collect()
-    rows = [(r.label, np.array(r.buckets, np.int64), np.array(r.sentences, np.int64)) for r in sorted(got, key=lambda r: (r.doc_id, len(r.buckets)))]
-    return train(rows, bits)
+    got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
+    rows = zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "sentences")), strict=True)
+    return train([(y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64)) for y, b, s in rows], bits)
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
