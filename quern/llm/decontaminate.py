@@ -136,7 +136,7 @@ def _search(docs: DataFrame, items: Items, seeds: np.ndarray, n: int, least: int
                 new[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (np.diff(start) > size[1:])
                 first = np.flatnonzero(new)
                 found: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for a, b in zip(first.tolist(), np.append(first[1:], len(of)).tolist(), strict=True):
+                for a, b in zip(first.tolist(), np.append(first, len(of))[1:].tolist(), strict=True):
                     y = block.words[of[a]]
                     if len(np.unique(where[a:b])) < min(least, max(1, len(y) - n + 1)):
                         continue
