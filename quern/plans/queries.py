@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import evaluate as ev
 from quern.operators import graph as gr
 from quern.operators import paths as pt
 from quern.operators import ranking as rk
@@ -614,3 +615,68 @@ def t09(spark, d):
     n = lambda x: x.groupBy("h", "r").agg(F.count("*").alias("n"))
     return ar.upsert(n(g.filter("split = 'train'")), n(g.filter("split != 'train'")), ["h", "r"])
 
+
+
+# protocols over a popularity scorer: an entity's score for a relation is how often it is its tail in train
+
+_POPULAR = """asked as (select h || '|' || r || '|' || t as q, h, r, t, 'tail' as dir from test where r = 'based_in' union all select t || '|' || r || '_inv|' || h, t, r || '_inv', h, 'head' from test where r = 'based_in'),
+    inv as (select h, r, t from train union all select t, r || '_inv', h from train), every as (select h, r, t from edges union all select t, r || '_inv', h from edges),
+    pop as (select r, t as e, count(*)::double as score from inv group by 1, 2), live as (select q, pop.e, score from asked join pop using (r) left join every k on k.h = asked.h and k.r = asked.r and k.t = pop.e where k.t is null or pop.e = asked.t),
+    goal as (select a.q, a.h, a.r, a.t, a.dir, l.score as ts from asked a left join live l on l.q = a.q and l.e = a.t),
+    ranks as (select g.q, g.h, g.r, g.t, g.dir, case when any_value(ts) is null then null else sum(case when score > ts then 1 else 0 end) + (sum(case when score = ts then 1 else 0 end) + 1) / 2.0::double end as rank from goal g left join live using (q) group by 1, 2, 3, 4, 5)"""
+
+
+def _popular(spark, d):
+    g = graph(spark, d).filter("r = 'based_in'")
+    asked = ev.both_directions(g.filter("split = 'test'"))
+    pop = vo.with_inverses(g.filter("split = 'train'").select("h", "r", "t")).groupBy("r", F.col("t").alias("e")).agg(F.count("*").cast("double").alias("score"))
+    return asked, asked.select("q", "r").join(pop, "r").select("q", "e", "score"), vo.with_inverses(g.select("h", "r", "t"))
+
+
+@query("m01_bidirectional_metrics", f"with {_POPULAR} select dir, count(*) as n, {_MRR} from ranks group by grouping sets ((dir), ())")
+def m01(spark, d):
+    asked, scores, known = _popular(spark, d)
+    return ev.bidirectional(scores, asked, known)
+
+
+@query("m05_seen_and_unseen_metrics", f"with {_POPULAR}, x as (select ranks.*, case when s.h is null then 'unseen' else 'seen' end as stratum from ranks left join (select distinct h, r from inv) s on s.h = ranks.h and s.r = ranks.r) select stratum, count(*) as n, {_MRR} from x group by stratum")
+def m05(spark, d):
+    asked, scores, known = _popular(spark, d)
+    target = asked.select("q", F.col("t").alias("e"))
+    answers = asked.select("q", "h", "r").join(known.select("h", "r", F.col("t").alias("e")), ["h", "r"]).select("q", "e")
+    ranks = target.join(rk.tie_aware(rk.filtered(scores, answers, target), target), ["q", "e"], "left").join(asked.select("q", "h", "r"), "q")
+    seen = vo.with_inverses(part(spark, d).filter("r = 'based_in'")).select("h", "r").distinct().withColumn("s", F.lit("seen"))
+    strata = asked.select("q", "h", "r").join(seen, ["h", "r"], "left").select("q", F.coalesce("s", F.lit("unseen")).alias("stratum"))
+    return ev.stratified(ranks, strata, ["q"])
+
+
+@query("k05_error_cases", f"with {_POPULAR}, o as (select q, e, score, row_number() over (partition by q order by score desc, e) as k from asked join pop using (r)), b as (select a.q, a.h, a.r, a.t, s.score as target_score, (select count(*) from o x where x.q = a.q and x.score > s.score) + 1 as rank from asked a join o s on s.q = a.q and s.e = a.t) select b.q, h, r, t, rank, target_score, o.e as top1, o.score as top1_score, (select string_agg(e, ';' order by k) from o x where x.q = b.q and x.k <= 10) as topk from b join o on o.q = b.q and o.k = 1 where rank > 1")
+def k05(spark, d):
+    asked, scores, _ = _popular(spark, d)
+    return ev.error_cases(scores, asked)
+
+
+@query("g19_printed_paths", "select 'x' as kind, h || ' -' || r || '-> ' || t as path from train where r = 'in_region'")
+def g19(spark, d):
+    g = part(spark, d).filter("r = 'in_region'").select(F.lit("x").alias("kind"), F.array("h", "t").alias("nodes"), F.col("r").alias("program"))
+    return g.select("kind", ev.printed_path().alias("path"))
+
+
+@query("e08_path_translation", "select r, program, round(2 * (1 / (1 + exp(-1.0::double / count(*))) - 0.5), 6) as score from (select a.h, a.r || '/' || b.r as program, a.r from train a join train b on a.t = b.h) group by r, program")
+def e08(spark, d):
+    g = part(spark, d)
+    two = g.join(g.select(F.col("h").alias("t"), F.col("r").alias("r2")), "t").select("r", F.concat_ws("/", "r", "r2").alias("program"))
+    return two.groupBy("r", "program").agg(F.round(sc.path_translation(F.count("*").cast("double")), 6).alias("score"))
+
+
+@query("g23_relation_weights", "select h, r, round(sum(p), 6) as weight from (select h, unnest([r, r]) as r, 0.25::double as p from train where r = 'placed') group by h, r")
+def g23(spark, d):
+    rows = part(spark, d).filter("r = 'placed'").select("h", F.explode(F.array("r", "r")).alias("r"), F.lit(0.25).alias("p"))
+    return rows.groupBy("h", "r").agg(F.round(F.sum("p"), 6).alias("weight"))
+
+
+@query("e11_expected_tail", "select label as q, round(sum(embedding[1]::double * (vec_id % 7 + 1)) / sum(vec_id % 7 + 1), 6) as x from embeddings group by label")
+def e11(spark, d):
+    w = (F.col("vec_id") % 7 + 1).cast("double")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.groupBy(F.col("label").alias("q")).agg(F.round(F.sum(F.col("embedding")[0].cast("double") * w) / F.sum(w), 6).alias("x"))
