@@ -1,9 +1,10 @@
 """Operator 8: benchmark decontamination.
 
-N-grams of the test items are counted over the whole corpus; per item, those that are rare among its own are
-seeds. Seeds join passages to items, and Smith-Waterman alignment of the passage's words with the item's scores
-each, so edited and paraphrased copies count too. Items are broadcast in blocks of bounded size, hence texts
-are never shuffled: each document is searched and aligned where it is read.
+All n-grams of the test items are seeds, however often the corpus has them. Seeds join passages to items, and
+Smith-Waterman alignment of the passage's words with the item's scores each, so edited and paraphrased copies
+count too. Passages that can't reach the least similarity are left out before, by an upper bound of the score.
+Items are broadcast in blocks of bounded size, hence texts are never shuffled: each document is searched and
+aligned where it is read.
 """
 
 from __future__ import annotations
@@ -21,17 +22,28 @@ from quern.llm.shared import documents
 from quern.llm.toxicity import _APART
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Seeds' hits that are handled at once, at document boundaries; a document with more is handled alone.
+HITS = 1 << 20
 
 
 @dataclass
 class Items:
-    """A block of test items: ids, their words' hashes, and all (n-gram, item, place) sorted by n-gram."""
+    """A block of test items: ids, their words' hashes, and all (n-gram, item, place) sorted by n-gram.
+
+    singles and pairs: sorted distinct hashes of words and of two words; single and pair: for each word of all items its number in
+    singles, and in pairs that of it and the word before (-1 for an item's first); first: each item's first word.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    singles: np.ndarray
+    single: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray
+    first: np.ndarray
 
 
 def _hashes(texts: pa.Array) -> list[np.ndarray]:
@@ -50,7 +62,16 @@ def _items(rows: list[tuple[int, str]], n: int) -> Items:
     item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
     place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)]).astype(np.int64)
     order = np.argsort(flat, kind="stable")
-    return Items([i for i, _ in rows], words, flat[order], item[order], place[order])
+    every = np.concatenate([np.zeros(0, np.uint64), *words])
+    first = np.cumsum([0, *map(len, words)]).astype(np.int64)
+    singles, single = np.unique(every, return_inverse=True)
+    inner = np.ones(len(every), bool)
+    inner[first[:-1][first[:-1] < len(every)]] = False
+    before = np.concatenate([np.zeros(min(1, len(every)), np.uint64), tx.ngrams(every, 2)])
+    pairs, which = np.unique(before[inner], return_inverse=True)
+    pair = np.full(len(every), -1, np.int64)
+    pair[inner] = which
+    return Items([i for i, _ in rows], words, flat[order], item[order], place[order], singles, single.astype(np.int64), pairs, pair, first)
 
 
 def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
@@ -84,70 +105,110 @@ def _hits(grams: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, at[place]
 
 
-def _frequencies(docs: DataFrame, index: np.ndarray, n: int) -> np.ndarray:
-    """In how many documents each n-gram occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+class _Places:
+    """Where the entries of a sorted distinct index occur among the n-grams of a chunk."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for _, _, data, off in tx.chunks(batch.column(0)):
-                w = tx.Words(data, off, _APART)
-                place, which = _hits(tx.ngrams(w.hashes, n), shared.value)
-                doc = np.searchsorted(w.first, place, "right") - 1
-                inside = place + n <= w.first[doc + 1]
-                pair = np.unique(doc[inside] * len(total) + which[inside])
-                total += np.bincount(pair % max(len(total), 1), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(index), np.int64)
-    for r in rows:
-        out[r[0]] = r[1]
+    def __init__(self, grams: np.ndarray, index: np.ndarray):
+        place, which = _hits(grams, index)
+        self.width = len(grams) + 1
+        self.keys = np.sort(which * self.width + place)
+
+    def within(self, which: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether entry `which` begins at a place of left <= place < right."""
+        if not len(self.keys):
+            return np.zeros(len(which), bool)
+        at = np.searchsorted(self.keys, which * self.width + left)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] < which * self.width + right)
+
+
+def _bounds(items: Items, of: np.ndarray, left: np.ndarray, right: np.ndarray, words: _Places, pairs: _Places) -> np.ndarray:
+    """For each passage (left, right: its first word and that after its last) an upper bound of its alignment's score with item `of`.
+
+    Order and number of the passage's words are left aside: a word matches if the passage has it anywhere, and two matches follow each
+    other without a gap if the passage has both side by side.
+    """
+    size = (items.first[of + 1] - items.first[of]).astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    of, left, right, size = of[order], left[order], right[order], size[order]
+    top = np.zeros(len(of), np.int64)
+    ends_in_match, ends_in_gap = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    for j in range(int(size[0]) if len(size) else 0):
+        k = int(np.searchsorted(-size, -j, "left"))  # passages whose items have more than j words
+        at = items.first[of[:k]] + j
+        has = words.within(items.single[at], left[:k], right[:k])
+        side = pairs.within(items.pair[at], left[:k], right[:k] - 1) if j else has
+        match, gap = ends_in_match[:k], ends_in_gap[:k]
+        follows = np.maximum(np.maximum(np.where(side, match, match + GAP), gap), 0) + MATCH
+        ends_in_gap[:k] = np.maximum(match, gap) + max(MISMATCH, GAP)
+        ends_in_match[:k] = np.where(has, follows, 0)
+        top[:k] = np.maximum(top[:k], ends_in_match[:k])
+    out = np.empty(len(of), np.int64)
+    out[order] = top
+    return out
+
+
+def _slices(weights: np.ndarray, group: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows that add up to about `most`, cut between groups."""
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=group[:1] - 1)), len(group))
+    total = np.concatenate([[0], np.cumsum(weights)])[cuts]
+    out, k = [], 0
+    while k + 1 < len(cuts):
+        end = max(k + 1, int(np.searchsorted(total, total[k] + most, "right")) - 1)
+        out.append((int(cuts[k]), int(cuts[end])))
+        k = end
     return out
 
 
-def _search(docs: DataFrame, items: Items, seeds: np.ndarray, n: int, least: int, similarity: float) -> DataFrame:
-    keep = seeds
-    shared = docs.sparkSession.sparkContext.broadcast((items, items.grams[keep], items.item[keep], items.place[keep]))
+def _search(docs: DataFrame, items: Items, n: int, least: int, similarity: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def passages(w: tx.Words, words: np.ndarray, block: Items, index: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, word after the last) of a chunk's passages that can be similar enough."""
+        where, which = _hits(tx.ngrams(words, n), index)
+        doc = np.searchsorted(w.first, where, "right") - 1
+        inside = where + n <= w.first[doc + 1]
+        where, which, doc = where[inside], which[inside], doc[inside]
+        many = end[which] - begin[which]
+        if not len(where):
+            return
+        singles, pairs = _Places(words, block.singles), _Places(tx.ngrams(words, 2), block.pairs)
+        for lo, hi in _slices(many, doc, HITS):
+            m = many[lo:hi]
+            entry = np.repeat(begin[which[lo:hi]], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            at, d = np.repeat(where[lo:hi], m), np.repeat(doc[lo:hi], m)
+            start = at - block.place[entry]  # where the item would begin
+            order = np.lexsort((start, block.item[entry], d))
+            at, d, of, start = at[order], d[order], block.item[entry][order], start[order]
+            size = (block.first[1:] - block.first[:-1])[of]
+            new = np.ones(len(of), bool)
+            new[1:] = (d[1:] != d[:-1]) | (of[1:] != of[:-1]) | (np.diff(start) > size[1:])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(of)) - 1
+            seeds = np.bincount(np.unique((np.cumsum(new) - 1) * (len(words) + 1) + at) // (len(words) + 1), minlength=len(first))
+            some = seeds >= np.minimum(least, np.maximum(1, size[first] - n + 1))
+            first, last = first[some], last[some]
+            d, of, size = d[first], of[first], size[first]
+            slack = size // 2 + 4
+            left, right = np.maximum(w.first[d], start[first] - slack), np.minimum(w.first[d + 1], start[last] + size + slack)
+            near = _bounds(block, of, left, right, singles, pairs) / (MATCH * size) >= similarity
+            yield from zip(d[near].tolist(), of[near].tolist(), left[near].tolist(), right[near].tolist(), strict=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, grams, item, place = shared.value
-        index, begin = np.unique(grams, return_index=True)
-        end = np.append(begin[1:], len(grams))
+        block = shared.value
+        index, begin = np.unique(block.grams, return_index=True)
+        end = np.append(begin[1:], len(block.grams))
         for batch in batches:
             at = 0
             for lo, hi, data, off in tx.chunks(batch.column(1)):
                 w = tx.Words(data, off, _APART)
                 words = w.hashes
-                where, which = _hits(tx.ngrams(words, n), index)
-                doc = np.searchsorted(w.first, where, "right") - 1
-                inside = where + n <= w.first[doc + 1]
-                where, which, doc = where[inside], which[inside], doc[inside]
-                many = end[which] - begin[which]
-                entry = np.repeat(begin[which], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-                where, doc = np.repeat(where, many), np.repeat(doc, many)
-                start = where - place[entry]  # where the item would begin
-                order = np.lexsort((start, item[entry], doc))
-                where, doc, of, start = where[order], doc[order], item[entry][order], start[order]
-                size = np.array([len(x) for x in block.words], np.int64)[of] if len(of) else of
-                new = np.ones(len(of), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (np.diff(start) > size[1:])
-                first = np.flatnonzero(new)
                 found: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for a, b in zip(first.tolist(), np.append(first, len(of))[1:].tolist(), strict=True):
-                    y = block.words[of[a]]
-                    if len(np.unique(where[a:b])) < min(least, max(1, len(y) - n + 1)):
-                        continue
-                    slack = len(y) // 2 + 4
-                    left = max(int(w.first[doc[a]]), int(start[a]) - slack)
-                    right = min(int(w.first[doc[a] + 1]), int(start[b - 1]) + len(y) + slack)
+                for d, k, left, right in passages(w, words, block, index, begin, end):
+                    y = block.words[k]
                     score, s, e = align(words[left:right], y)
                     share = score / (MATCH * len(y))
-                    key = (int(doc[a]), int(of[a]))
-                    if share >= similarity and share > found.get(key, (0, 0, 0))[0]:
-                        found[key] = (share, left + s, left + e)
+                    if share >= similarity and share > found.get((d, k), (0, 0, 0))[0]:
+                        found[d, k] = (share, left + s, left + e)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 out: list[list] = [[], [], [], [], []]
                 for (d, k), (share, s, e) in sorted(found.items()):
@@ -163,9 +224,8 @@ def _search(docs: DataFrame, items: Items, seeds: np.ndarray, n: int, least: int
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: int = 2, similarity: float = 0.5, block: int = 20_000) -> DataFrame:
     """Pairs of documents (doc_id, text) and test items (item_id, text) with a passage that aligns: doc_id, item_id, similarity, start, end.
 
-    similarity is the alignment's score divided by that of the item with itself; start and end are code points in the document. A seed is an
-    n-gram of an item whose document frequency is at most twice the lower quartile of the item's own, plus 5. A passage needs `least`
-    seeds (or all of a short item's). Items of fewer than n words and null or empty texts match nothing; repeated items and documents each
+    similarity is the alignment's score divided by that of the item with itself; start and end are code points in the document. A seed is any
+    n-gram of an item. A passage needs `least` seeds (or all of a short item's). Items of fewer than n words and null or empty texts match nothing; repeated items and documents each
     give their pairs, of one document and item the best passage. Items are searched in blocks of `block`, each a pass over the documents.
     """
     spark = docs.sparkSession
@@ -175,15 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: int =
     for b in range(blocks):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else benchmark
         rows = sorted((r[0], r[1] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect() if r[0] is not None)  # about `block` items
-        items = _items(rows, n)
-        index = np.unique(items.grams)
-        often = _frequencies(docs, index, n)
-        mine = often[np.searchsorted(index, items.grams)]
-        quartile = np.zeros(len(rows))
-        for k in range(len(rows)):
-            if (items.item == k).any():
-                quartile[k] = np.quantile(mine[items.item == k], 0.25)
-        found = _search(docs, items, mine <= 2 * quartile[items.item] + 5, n, least, similarity)
+        found = _search(docs, _items(rows, n), n, least, similarity)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, end int")
 

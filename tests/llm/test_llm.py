@@ -240,6 +240,41 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_decontamination_of_widely_shared_edited_and_partial_copies(spark):
+    rng = np.random.default_rng(12)
+    items = [" ".join("b%d" % i for i in rng.integers(0, 5000, 40)) for _ in range(3)]
+    edited = " ".join("edit%d" % k if k % 8 == 4 else w for k, w in enumerate(items[0].split()))
+    partial = " ".join(items[1].split()[:28])
+    other = lambda: " ".join("w%d" % i for i in rng.integers(0, 900, 30))
+    docs = [(i, f"{other()} {(edited, partial, other())[i % 3]} {other()}") for i in range(900)]
+    docs += [(900 + i, f"{other()} {' '.join(items[2].split()[5 * i : 5 * i + 4])}") for i in range(3)]  # seeds, but too little of the item
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 3) for i in range(900) if i % 3 < 2}
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    rng = np.random.default_rng(13)
+    items = [[int(x) for x in rng.integers(0, 40, int(rng.integers(3, 25)))] for _ in range(12)]
+    docs = []
+    for i in range(80):
+        x = rng.integers(0, 40, 30).tolist()
+        y = items[i % 12].copy()
+        for _ in range(int(rng.integers(0, 6))):
+            y[int(rng.integers(0, len(y)))] = 99
+        docs.append(x[:10] + y + x[10:] if i % 2 else x)
+    text = lambda x: " ".join("w%d" % i for i in x)
+    grams = lambda x: {tuple(x[k : k + 3]) for k in range(len(x) - 2)}
+    got = decontaminate.contaminated(spark.createDataFrame([(i, text(x)) for i, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, text(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    expect = {}
+    for d, x in enumerate(docs):
+        for k, y in enumerate(items):
+            places = sum(tuple(x[p : p + 3]) in grams(y) for p in range(len(x) - 2))
+            if places >= min(2, len(y) - 2) and (share := _smith_waterman(x, y) / (2 * len(y))) >= 0.5:
+                expect[d, k] = share
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == expect and len(expect) > 30
+
+
 def test_syncmers_are_context_free(spark):
     from pyspark.sql import functions as F
 
