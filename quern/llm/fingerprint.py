@@ -2,8 +2,8 @@
 
 A k-mer (k code points) is kept if the smallest hash of its inner s-mers belongs to the first or the last of
 them. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A fingerprint
-is the bottom sketch of the anchors' hashes: the smallest ones, from which the likeness of two sets is estimated.
-Texts are cut as UTF-32 bytes, where a code point's place is a multiplication.
+is all anchors of a text, places and hashes in the text's order: likeness and containment of two texts are counted
+from it, and common hashes tell where their passages agree. Texts are cut as UTF-32 bytes, where a code point's place is a multiplication.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import documents, materialize
 
-K, S, KEPT = 16, 9, 64
+K, S = 16, 9
 
 
 def _let(value: Column, use) -> Column:
@@ -46,27 +46,24 @@ def syncmers(text: Column) -> Column:
     return _anchors(text, lambda i, h: F.struct(i.alias("pos"), h.alias("hash")))
 
 
-def sketch(text: Column, kept: int = KEPT) -> Column:
-    """The smallest distinct hashes of the text's syncmers (48 bits each), sorted."""
-    return F.slice(F.sort_array(F.array_distinct(_anchors(text, lambda _, h: F.pmod(h, F.lit(1 << 48))))), 1, kept)
+def fingerprint(text: Column) -> Column:
+    """Struct of the arrays pos and hash: all closed syncmers of the text, by position."""
+    return _let(syncmers(text), lambda a: F.struct(a["pos"].alias("pos"), a["hash"].alias("hash")))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Estimate of the Jaccard similarity behind two sketches: the common share of the smallest hashes of both. Two empty ones are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, kept)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the sets of hashes in two arrays. Two empty ones are alike."""
+    common = F.size(F.array_intersect(a, b))
+    every = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - common
+    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
-def printed(sketch_: Column) -> Column:
-    """A sketch as text: 12 hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketch_, lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")), "")
-
-
-def with_next(docs: DataFrame, columns: list[str], width: int = 32, most: int = 100_000) -> DataFrame:
-    """Adds next_<c> for each column, of the row with the next doc_id (after the last: the first); equal ids go by text, a null id is the lowest.
+def with_next(docs: DataFrame, columns: list[str], late: dict[str, Column] | None = None, width: int = 32, most: int = 100_000) -> DataFrame:
+    """Adds next_<c> for each column or field, of the row with the next doc_id (after the last: the first); equal ids go by text, a null id is the lowest.
 
     Rows are dealt by ranges of ids, `width` wide or wider, so that there are at most about `most` ranges in dense ids. A range's first
-    row is also dealt to the range before it, where it is looked at and dropped. The table of ranges is broadcast if it is small.
+    row is also dealt to the range before it, where it is looked at and dropped. The table of ranges is broadcast if it is small. `late` has further
+    columns by name, computed where rows have been dealt and so not shuffled; `columns` may name them.
     """
     n = docs.count()
     width = max(width, n // most)
@@ -81,23 +78,25 @@ def with_next(docs: DataFrame, columns: list[str], width: int = 32, most: int =
     own = F.struct(at.alias("range"), F.lit(False).alias("ahead"))
     dealt = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))))
     rows = rows.withColumn("deal", F.explode(dealt)).select(*docs.columns, "deal.range", "deal.ahead")
+    rows = rows.repartition("range").withColumns(late or {})
     by = Window.partitionBy("range").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.select("*", *(F.lead(c).over(by).alias(f"next_{c}") for c in columns)).filter(~F.col("ahead")).drop("range", "ahead")
+    return rows.select("*", *(F.lead(c).over(by).alias(f"next_{c.split('.')[-1]}") for c in columns)).filter(~F.col("ahead")).drop("range", "ahead")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, sketch and fingerprint for each row of docs (doc_id, text; others are ignored). Equal texts have equal fingerprints; an empty or null text's is empty."""
-    return docs.select("doc_id", sketch(F.col("text")).alias("sketch")).withColumn("fingerprint", printed(F.col("sketch")))
+    """doc_id and fingerprint for each row of docs (doc_id, text; others are ignored). Equal texts have equal fingerprints; an empty or null text's has empty arrays."""
+    return docs.select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sketch", sketch(F.col("text"))), ["text", "sketch"])
+    rows = with_next(docs, ["text", "fingerprint.hash"], {"fingerprint": fingerprint(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"), "sketch", "next_sketch")
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_hash")
+    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint.hash"), F.col("edited_fingerprint.hash")).alias("near_edited"), likeness(F.col("fingerprint.hash"), F.col("next_hash")).alias("near_next"),
     )

@@ -308,6 +308,21 @@ def test_fingerprints(docs, rows, spark, tmp_path, empty):
     assert fingerprint.with_next(empty.select("doc_id", "text"), ["text"]).count() == 0
 
 
+def test_fingerprints_keep_all_anchors_with_their_places(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    a, b, passage = ("".join(rng.choice(list("abcdefghij klmnop"), n)) for n in (20_000, 20_000, 360))
+    texts = [a[:7000] + passage + a[7000:], b[:12_000] + passage + b[12_000:], passage]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fingerprint.op9_fingerprints(spark, str(tmp_path)).collect()}
+    anchors = [dict(zip(got[i].fingerprint.hash, got[i].fingerprint.pos, strict=True)) for i in range(3)]
+    common = anchors[0].keys() & anchors[1].keys()
+    assert len(anchors[0]) > 4000 and len(common) > 50
+    assert {anchors[1][x] - anchors[0][x] for x in common} == {5000}
+    assert anchors[2].keys() <= anchors[0].keys() and got[0].near_next == len(common) / len(anchors[0].keys() | anchors[1].keys()) > 0
+    edited = dict(zip(got[0].edited_fingerprint.hash, got[0].edited_fingerprint.pos, strict=True))
+    assert got[0].near_edited == len(anchors[0].keys() & edited.keys()) / len(anchors[0].keys() | edited.keys())
+
+
 def test_secrets(docs, rows, spark, empty):
     found = {r.doc_id: r for r in secrets.secrets(docs).collect()}
     r = next(found[i] for i, t in rows if t and t.startswith("token ="))
