@@ -1,5 +1,7 @@
 """Operator 6: URL filters as a cascade of Bloom filters over the corpus's complete set of keys.
 
+The keys are the hosts' endings at dots, of as many labels as listed domains have, so a host is listed if one of its
+keys is. The list is a table of any size that is joined with the distinct keys once.
 Level 1 holds the listed keys; level 2 those other keys of the corpus that level 1 takes for listed; level 3 the
 listed keys that level 2 takes for others; and so on until a level makes no mistake. For every key of the
 corpus, the level at which it first isn't found tells exactly whether it is listed. Levels are arrays of
@@ -82,26 +84,37 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, domains: tuple[str, ...] = DOMAINS, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def listing(spark: SparkSession, domains: tuple[str, ...] | DataFrame) -> DataFrame:
+    """Distinct listed domains (key), lower-cased; a table's first column has them. Null and empty ones list nothing."""
+    table = domains if isinstance(domains, DataFrame) else spark.range(1).select(F.explode(F.array(*map(F.lit, domains)).cast("array<string>")).alias("domain"))
+    key = F.translate(F.col(table.columns[0]), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return table.select(key.alias("key")).filter("key != ''").distinct()
+
+
+def judge(pages: DataFrame, domains: tuple[str, ...] | DataFrame = DOMAINS, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """Pages (url; other columns stay, but for ones of these names) with host, path, rule, listed and verdict.
 
-    A null url, or one without ://, has an empty host and path, no rule, and isn't listed. A rule fits its host and all hosts below it if
-    the path begins with the rule's; the longest decides, then its listed order. Without a rule the cascade decides: block if listed.
+    A host is listed if it is one of the domains or below one. A null url, or one without ://, has an empty host and path, no rule, and
+    isn't listed. A rule fits its host and all hosts below it if the path begins with the rule's; the longest decides, then its listed order. Without a rule the cascade decides: block if listed.
     Repeated rows are judged each; no rows give no rows.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
     table = pages.select(*keep, host().alias("host"), path().alias("path"))
-    listed = reduce(lambda a, b: a | b, (below(F.col("key"), d) for d in domains), F.lit(False))
-    universe = materialize(table.select(F.col("host").alias("key")).distinct().withColumn("listed", listed), "keys")
+    listed = listing(pages.sparkSession, domains)
+    labels = sorted(r[0] for r in listed.select(F.size(F.split("key", "\\.")).alias("labels")).distinct().collect())
+    keys = [F.substring_index("host", ".", -n) for n in labels]
+    ends = table.select("host").distinct().select("host", F.explode(F.array(*keys).cast("array<string>")).alias("key"))
+    universe = ends.select("key").distinct().join(listed.withColumn("listed", F.lit(True)), "key", "left")
+    universe = materialize(universe.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
     cascade = Cascade(universe)
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = [below(F.col("host"), h) & F.startswith("path", F.lit(p)) for _, h, p in order]
     pick = lambda values: F.coalesce(*(F.when(f, F.lit(v)) for f, v in zip(fits, values, strict=True)), F.lit(None).cast("string"))
     table = table.withColumn("rule", pick([h + p for _, h, p in order]))
     if cascade.levels is None:
-        table = table.join(universe.select(F.col("key").alias("host"), "listed"), "host")
+        table = table.join(ends.join(universe, "key").groupBy("host").agg(F.bool_or("listed").alias("listed")), "host")
     else:
-        table = table.withColumn("listed", cascade.listed(F.col("host")))
+        table = table.withColumn("listed", reduce(lambda a, b: a | b, map(cascade.listed, keys), F.lit(False)))
     return table.withColumn("verdict", F.coalesce(pick([v for v, _, _ in order]), F.when(F.col("listed"), "block").otherwise("allow")))
 
 

@@ -169,6 +169,22 @@ def test_url_filter(spark):
     assert url_filter.judge(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 26, 64])
+def test_url_filter_takes_a_table_of_domains(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BITS", most)
+    names = [f"junk{i}.example.{tld}" for i in range(40) for tld in ("com", "net", "org")] + ["Deep.A.b.c.example.com", "bad", None, ""]
+    domains = spark.createDataFrame([(d, 0) for d in names], "domain string, n int")
+    hosts = ["junk3.example.net", "m.junk39.example.org", "xjunk3.example.net", "junk3.example.net.ok", "example.com", "deep.a.b.c.example.com", "x.deep.a.b.c.example.com", "a.b.c.example.com", "bad", "so.bad", "sobad", "", "..", "junk40.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)] + [(0, f"http://{hosts[0]}/y"), (99, None)], "page_id long, url string")
+    got = url_filter.judge(pages, domains, (("allow", "never.example", "/"),)).collect()
+    listed = [d.lower() for d in names if d]
+    assert len(got) == len(hosts) + 2
+    for r in got:
+        assert r.listed == any(r.host == d or r.host.endswith("." + d) for d in listed) and r.verdict == ("block" if r.listed else "allow")
+    assert sum(r.listed for r in got) == 7
+    assert not any(r.listed for r in url_filter.judge(pages, domains.filter("false")).collect())
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     from pyspark.sql import functions as F
 
