@@ -25,6 +25,24 @@ def optimistic(scores: DataFrame, targets: DataFrame) -> DataFrame:
     return scores.select("q", "score").join(t, "q").groupBy("q", "e").agg((F.count_if(F.col("score") > F.col("target")) + 1).alias("rank"))
 
 
+def _levels(rows: DataFrame, by: list[str], n: str, better: str) -> DataFrame:
+    """(by, score, n, better): how many rows have a score, and how many a higher one."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*by, "score").agg(F.count("*").alias(n)).withColumn(better, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def by_relation(scores: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (q, h, r, t) with score, better and rank, where an entity's score depends on the relation only: scores (r, e, score), one row an entity.
+
+    better: how many entities score higher; rank: filtered by the known facts (h, r, t), which have the asked ones, and tie-aware. A target
+    without a score has nulls. Entities are counted by score, so no question is joined with them.
+    """
+    mine = scores.withColumnRenamed("e", "t")
+    taken = _levels(known.select("h", "r", "t").distinct().join(mine, ["r", "t"]), ["h", "r"], "_k", "_k_better")
+    rows = asked.join(mine, ["r", "t"], "left").join(_levels(scores, ["r"], "_n", "better"), ["r", "score"], "left").join(taken, ["h", "r", "score"], "left")
+    return rows.withColumn("rank", F.col("better") - F.col("_k_better") + (F.col("_n") - F.col("_k") + 2) / 2).drop("_n", "_k", "_k_better")
+
+
 def ordinal(scores: DataFrame, within: int | None = None) -> DataFrame:
     """Adds rank, 1 on, by descending score and then name; within: only the first ones."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "e")))

@@ -155,6 +155,13 @@ def j04(spark, d):
     return gr.leak_free(g.filter("split = 'train' or (split = 'test' and r = 'based_in')").select("h", "r", "t"), q)
 
 
+@query("j04_leak_free_whole")
+def j04_whole(spark, d):
+    g = graph(spark, d)
+    q = g.filter("split = 'test'").select(F.concat_ws("|", "h", "r", "t").alias("q"), "h", "r", "t")
+    return gr.leak_free(g.filter("split != 'valid'").select("h", "r", "t"), q)
+
+
 @query("j07_neighbours_with_relation", "select distinct h as e from train where r = 'region_of' and h in (select h from train where r = 'placed')")
 def j07(spark, d):
     g = part(spark, d)
@@ -427,6 +434,11 @@ def r08(spark, d):
     return sm.neighbours(q, part(spark, d, typed=True)).select("h", "r", "e", F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
 
 
+@query("r08_neighbours_whole", typed=True)
+def r08_whole(spark, d):
+    return sm.neighbours(part(spark, d, "test", typed=True), part(spark, d, typed=True)).select("h", "r", "e", F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
+
+
 @query("g15_average_linkage_clusters")
 def g15(spark, d):
     return clusters(part(spark, d, typed=True))
@@ -480,6 +492,12 @@ def g11(spark, d):
     return beam(q, uniform(g), 2, 100).select("q", "e", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("g11_beam_search_whole")
+def g11_whole(spark, d):
+    q = part(spark, d, "test").select(F.concat_ws("|", "h", "r", "t").alias("q"), "h", "r", "t")
+    return beam(q, uniform(graph(spark, d).select("h", "r", "t")), 2, 100).select("q", "e", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("g02_environment", "select h, r, t from train union all select t, r || '_inv', h from train")
 def g02(spark, d):
     g = graph(spark, d)
@@ -517,6 +535,13 @@ def _scored(name: str, expr: Callable, oracle: str) -> None:
     ORACLES[name] = f"""with v as (select vec_id, label, embedding::double[] as v from embeddings), p as (select a.vec_id as q, b.vec_id as e, a.v as h, [x * 0.5::double for x in a.v] as r, b.v as t from v a cross join v b where a.label = 0 and b.label = 1)
         select q, e, round({oracle}, 6) as score from p"""
 
+    def whole(spark, d):
+        v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        pairs = v.select(F.col("vec_id").alias("q"), F.col("v").alias("h")).crossJoin(v.select(F.col("vec_id").alias("e"), F.col("v").alias("t")))
+        return pairs.select("q", "e", F.round(expr(F.col("h"), F.transform("h", lambda x: x * 0.5), F.col("t")), 6).alias("score"))
+
+    QUERIES[f"{name}_whole"] = whole
+
 
 _D = "range(1, 65)"
 _H = "range(1, 33)"
@@ -656,6 +681,39 @@ def k05(spark, d):
     return ev.error_cases(scores, asked)
 
 
+# the same protocols over all relations, whose questions are never joined with all entities of a relation
+
+
+def _popular_whole(spark, d):
+    g = graph(spark, d)
+    asked = ev.both_directions(g.filter("split = 'test'"))
+    train = vo.with_inverses(g.filter("split = 'train'").select("h", "r", "t"))
+    pop = train.groupBy("r", F.col("t").alias("e")).agg(F.count("*").cast("double").alias("score"))
+    return rk.by_relation(pop, asked, vo.with_inverses(g.select("h", "r", "t"))), pop, train
+
+
+@query("m01_bidirectional_metrics_whole")
+def m01_whole(spark, d):
+    ranks = _popular_whole(spark, d)[0]
+    return rk.metrics(ranks, ["dir"]).unionByName(rk.metrics(ranks).withColumn("dir", F.lit(None).cast("string")))
+
+
+@query("m05_seen_and_unseen_metrics_whole")
+def m05_whole(spark, d):
+    ranks, _, train = _popular_whole(spark, d)
+    seen = train.select("h", "r").distinct().withColumn("s", F.lit("seen"))
+    return rk.metrics(ranks.join(seen, ["h", "r"], "left").withColumn("stratum", F.coalesce("s", F.lit("unseen"))), ["stratum"])
+
+
+@query("k05_error_cases_whole")
+def k05_whole(spark, d):
+    ranks, pop, _ = _popular_whole(spark, d)
+    of = pop.withColumnRenamed("r", "q")
+    first = rk.ordinal(of, 1).select(F.col("q").alias("r"), F.col("e").alias("top1"), F.col("score").alias("top1_score"))
+    rows = ranks.filter("better > 0").join(F.broadcast(first.join(rk.top_list(of, 10).select(F.col("q").alias("r"), F.col("top").alias("topk")), "r")), "r")
+    return rows.select("q", "h", "r", "t", (F.col("better") + 1).alias("rank"), F.col("score").alias("target_score"), "top1", "top1_score", "topk")
+
+
 @query("g19_printed_paths", "select 'x' as kind, h || ' -' || r || '-> ' || t as path from train where r = 'in_region'")
 def g19(spark, d):
     g = part(spark, d).filter("r = 'in_region'").select(F.lit("x").alias("kind"), F.array("h", "t").alias("nodes"), F.col("r").alias("program"))
