@@ -560,6 +560,12 @@ def e13(spark, d):
     return e.select("vec_id", (F.size(sc.correlate(v, v, 8)) == 8).alias("ok"))
 
 
+@query("e13_circular_correlation_whole")
+def e13_whole(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(sc.correlate(v, v, 64), lambda x: F.round(x, 6)).alias("correlation"))
+
+
 @query("e12_softmax_entropy", "with s as (select h, count(*)::double as w from edges where r = 'placed' group by h, t), k as (select substr(h, 1, 2) as b, ln(1 + row_number() over (partition by substr(h, 1, 2) order by h)) as v from (select distinct h from edges where r = 'placed')), p as (select b, exp(v) / sum(exp(v)) over (partition by b) as p from k) select b, round(sum(-p * ln(p + 1e-20::double)), 6) as entropy from p group by b")
 def e12(spark, d):
     from pyspark.sql import Window

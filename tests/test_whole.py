@@ -141,3 +141,9 @@ def test_scorers_of_all_labels(spark, data, name):
     }
     got = {(r.q, r.e): r.score for r in QUERIES[f"{name}_whole"](spark, data).collect()}
     assert got == {(a, b): pytest.approx(by[name[:3]](v[a], v[a] / 2, v[b]), abs=2e-6) for a in v for b in v}
+
+
+def test_circular_correlation_of_whole_vectors(spark, data):
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    got = {r.vec_id: r.correlation for r in QUERIES["e13_circular_correlation_whole"](spark, data).collect()}
+    assert got == {k: pytest.approx([float(np.dot(x, np.roll(x, -i))) for i in range(64)], abs=2e-6) for k, x in v.items()}
