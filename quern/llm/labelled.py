@@ -11,14 +11,27 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def _ids(labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
+    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    return ids.filter(fold("doc_id", parts) != held)
+
+
+def weights(labels: DataFrame, label: str, parts: int, held: int, most: tuple[int, int]) -> tuple[float, float]:
+    """What a sampled document of labels 0 and 1 weighs, so that the classes have the shares of all labels outside the held-out fold; 1 on average."""
+    got = {r[0]: r[1] for r in _ids(labels, label, parts, held).groupBy("label").count().collect()}
+    every = [got.get(k, 0) for k in (0, 1)]
+    kept = [min(n, m) for n, m in zip(every, most, strict=True)]
+    zero, one = (n / k * sum(kept) / sum(every) if k else 1.0 for n, k in zip(every, kept, strict=True))
+    return zero, one
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: tuple[int, int]) -> DataFrame:
     """(doc_id, text, label) of at most `most` documents labelled 0 and 1 outside the held-out fold, those whose ids hash lowest.
 
     Ids come from the labels alone, so only those documents' texts are moved. An id with several labels has the largest;
     a null label is none. At most sum(most) rows of ids and labels are broadcast.
     """
-    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.filter(fold("doc_id", parts) != held)
+    ids = _ids(labels, label, parts, held)
     zero, one = (ids.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(most))
     ids = zero.unionByName(one)
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")

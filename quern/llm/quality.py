@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import text as tx
 from quern.llm.labelled import fold, sample
+from quern.llm.labelled import weights as shares
 from quern.llm.shared import documents
 
 #: Random multipliers of bytes: case is kept, unlike in word hashes elsewhere.
@@ -75,8 +76,8 @@ def _features(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, counts binary")
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int = 8, epochs: int = 12, rate: float = 1.0) -> Model:
-    """rows: (label, distinct buckets, their counts) by document."""
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int = 8, epochs: int = 12, rate: float = 1.0, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: (label, distinct buckets, their counts) by document; weigh: what documents of labels 0 and 1 weigh."""
     rng = np.random.default_rng(11)
     positive = sum(r[0] for r in rows)
     if not rows or positive in (0, len(rows)):
@@ -97,6 +98,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
             p = np.exp(z - z.max())
             p /= p.sum()
             p[label] -= 1
+            p *= np.float32(weigh[label])
             back = out @ p
             out -= lr * np.outer(mean, p)
             bias -= 0.1 * lr * p
@@ -105,9 +107,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: tuple[int, int] = (1200, 1800), bits: int = 18) -> Model:
-    """Learns from at most `most` documents of either label outside the held-out fold. Without two classes the model answers the one it saw, or even odds."""
+    """Learns from at most `most` documents of either label outside the held-out fold, weighted for the classes' shares among all of them. Without two classes the model answers the one it saw, or even odds."""
     got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
-    return train([(y, np.frombuffer(f, np.int32), np.frombuffer(c, np.float32)) for y, f, c in zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "counts")), strict=True)], bits)
+    return train([(y, np.frombuffer(f, np.int32), np.frombuffer(c, np.float32)) for y, f, c in zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "counts")), strict=True)], bits, weigh=shares(labels, label, parts, held, most))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

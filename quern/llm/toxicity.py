@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from quern.llm import text as tx
 from quern.llm.labelled import fold, sample
+from quern.llm.labelled import weights as shares
 from quern.llm.shared import documents
 
 _APART = np.zeros(256, bool)
@@ -74,8 +75,8 @@ def _features(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, sentences binary")
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int = 12, rate: float = 2.0, sparse: float = 1.0, shrink: float = 0.1, rare: int = 4) -> Model:
-    """rows: (label, buckets, sentences) by document.
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int = 12, rate: float = 2.0, sparse: float = 1.0, shrink: float = 0.1, rare: int = 4, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: (label, buckets, sentences) by document; weigh: what documents of labels 0 and 1 weigh.
 
     Proximal stochastic gradient steps with a sparsity penalty (FTRL): words that few documents have, or that say little, weigh nothing.
     """
@@ -98,6 +99,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
             p = 1 / (1 + np.exp(-np.clip(np.bincount(of, weights[buckets]) + bias, -30, 30)))
             none = np.exp(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
             up = p * (none / max(1 - none, 1e-6)) if label else -p  # derivative of the log-likelihood by each sentence's logit
+            up = up * weigh[label]
             grad = -np.bincount(back, up[of]) * (often[f] >= rare)
             more = n[f] + grad * grad
             z[f] += grad - (np.sqrt(more) - np.sqrt(n[f])) / rate * weights[f]
@@ -110,10 +112,10 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0, most: tuple[int, int] = (6000, 3000), bits: int = 20) -> Model:
-    """Learns from at most `most` documents of labels 0 and 1 outside the held-out fold. With one class or none the model answers that, or no."""
+    """Learns from at most `most` documents of labels 0 and 1 outside the held-out fold, weighted for the classes' shares among all of them. With one class or none the model answers that, or no."""
     got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
     rows = zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "sentences")), strict=True)
-    return train([(y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64)) for y, b, s in rows], bits)
+    return train([(y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64)) for y, b, s in rows], bits, weigh=shares(labels, label, parts, held, most))
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:

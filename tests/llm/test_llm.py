@@ -159,6 +159,21 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_samples_are_weighted_for_the_shares_of_all_labels(spark):
+    from quern.llm import labelled
+
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    zero, one = labelled.weights(labels, "toxic", 5, 0, (200, 100))
+    ids = labelled._ids(labels, "toxic", 5, 0).collect()
+    share = sum(r.label for r in ids) / len(ids)
+    assert 100 * one / (200 * zero + 100 * one) == pytest.approx(share) and 200 * zero + 100 * one == pytest.approx(300)
+    assert labelled.weights(labels, "toxic", 5, 0, (6000, 3000)) == (1.0, 1.0)
+    # texts that say nothing are scored by the share of their class, also where a class is cut
+    docs = spark.createDataFrame([(i, "same words here") for i in range(3000)], "doc_id long, text string")
+    assert quality.score(docs.limit(1), quality.fit(docs, labels, "toxic", most=(200, 200))).first().score == pytest.approx(0.1, abs=0.05)
+    assert toxicity.score(docs.limit(1), toxicity.fit(docs, labels, most=(200, 200))).first().score == pytest.approx(0.1, abs=0.06)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://A.ORG/x", "http://example.org/es/1", "https://m.example.org/en/12?q", "http://x.com/fr/", "http://x.com/de/a", "http://www.spam-farm.example.org", "http://ads-track.example.com?x=/de/", "http://ok.net/a#b", "http://ok.net/a#b", "a://b://c"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
