@@ -64,9 +64,9 @@ def secrets(docs: DataFrame, owner: str = "source", shared_by: int = 3) -> DataF
     table = materialize(candidates(docs, owner).withColumn("row", F.monotonically_increasing_id()), "candidates")
     seen = table.filter(F.size("spans") > 0).select("row", "doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans").alias("s"))
     seen = seen.select("row", "doc_id", "owner", F.sha2("s.value", 256).alias("hash"), ((F.length("s.value") >= 16) & F.col("s.value").rlike("[A-Za-z]") & F.col("s.value").rlike("[0-9]")).alias("random")).distinct()
-    # three aggregates with partial sums, so a value in every document is no hot key
-    repos = seen.groupBy("hash", "doc_id").agg(F.min("owner").alias("owner"))
-    use = repos.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    # aggregates with partial sums, so a value in every document is no hot key
+    count = lambda column, name: seen.select("hash", column).distinct().groupBy("hash").agg(F.count("*").alias(name))
+    use = count("doc_id", "n_repos").join(count("owner", "n_owners"), "hash")
     verdict = seen.join(use, "hash").groupBy("row").agg(
         F.count_if(F.col("random") & (F.col("n_owners") < shared_by)).alias("n_live"), F.count_if(F.col("n_owners") >= shared_by).alias("n_shared"), F.max("n_repos").alias("most_repos")
     )

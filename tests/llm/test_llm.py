@@ -365,6 +365,12 @@ def test_secrets(docs, rows, spark, empty):
     assert [(s.kind, s.start, s.end) for s in secrets.secrets(tricky).first().spans] == [("access", 25, 45)]
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_secrets_count_owners_of_rows_with_one_id(spark, doc_id):
+    rows = spark.createDataFrame([(doc_id, "key is 0123456789abcdef0123456789abcdef", "o%d" % i) for i in range(4)], "doc_id long, text string, source string")
+    assert [(r.n_live, r.n_shared, r.most_repos) for r in secrets.secrets(rows).collect()] == [(0, 1, 1)] * 4
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
