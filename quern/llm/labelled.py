@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +41,39 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
     zero, one = (ids.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(most))
     ids = zero.unionByName(one)
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+
+
+def smallest(x: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes of 16 bits if all fit, else of 32."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def numbers(raw: memoryview, count: int) -> np.ndarray:
+    """What smallest() wrote, of so many numbers; a view."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * count else np.uint32)
+
+
+def _views(column: pa.ChunkedArray) -> list[memoryview]:
+    """A binary column's values, without copies."""
+    out: list[memoryview] = []
+    for part in column.chunks:
+        _, off, data = part.buffers()
+        off = np.frombuffer(off, np.int32)[part.offset : part.offset + len(part) + 1].tolist()
+        data = memoryview(data if data is not None else b"")
+        out += [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    return out
+
+
+@contextmanager
+def collected(rows: DataFrame) -> Iterator[list[tuple]]:
+    """Rows of (doc_id, label, binary...) in the driver, as tuples of the label and views of the bytes, by id and then bytes. Their memory is given back at the end."""
+    table = rows.toArrow()
+    ids, labels = table.column(0).to_pylist(), table.column(1).to_pylist()
+    views = [_views(table.column(k)) for k in range(2, table.num_columns)]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], *(zlib.crc32(v[i]) for v in views)))
+    out = [(labels[i], *(v[i] for v in views)) for i in order]
+    del views
+    yield out
+    out.clear()
+    del table
+    pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import text as tx
-from quern.llm.labelled import fold, sample
+from quern.llm.labelled import collected, fold, numbers, sample, smallest
 from quern.llm.labelled import weights as shares
 from quern.llm.shared import documents
 
@@ -69,15 +69,15 @@ def _features(docs: DataFrame, bits: int) -> DataFrame:
                 for i in range(hi - lo):
                     f, c = np.unique(np.concatenate([g[e[i] : e[i + 1]] for g, e in kinds]), return_counts=True)
                     flat.append(f.astype(np.int32).tobytes())
-                    counts.append(c.astype(np.float32).tobytes())
+                    counts.append(smallest(c))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), pa.array(flat, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "buckets", "counts"])
                 at += hi - lo
 
     return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, counts binary")
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int = 8, epochs: int = 12, rate: float = 1.0, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """rows: (label, distinct buckets, their counts) by document; weigh: what documents of labels 0 and 1 weigh."""
+def train(rows: list[tuple[int, memoryview, memoryview]], bits: int, dim: int = 8, epochs: int = 12, rate: float = 1.0, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: (label, distinct buckets, their counts) by document, as _features has them; weigh: what documents of labels 0 and 1 weigh."""
     rng = np.random.default_rng(11)
     positive = sum(r[0] for r in rows)
     if not rows or positive in (0, len(rows)):
@@ -92,7 +92,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
             steps += 1
             if not len(f):
                 continue
-            share = (c / c.sum()).astype(np.float32)
+            f = np.frombuffer(f, np.int32)
+            c = numbers(c, len(f)).astype(np.float32)
+            share = c / c.sum()
             mean = share @ vectors[f]
             z = mean @ out + bias
             p = np.exp(z - z.max())
@@ -106,14 +108,21 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
     return Model(bits, (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: tuple[int, int] = (1200, 1800), bits: int = 18) -> Model:
-    """Learns from at most `most` documents of either label outside the held-out fold, weighted for the classes' shares among all of them. Without two classes the model answers the one it saw, or even odds."""
-    got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
-    return train([(y, np.frombuffer(f, np.int32), np.frombuffer(c, np.float32)) for y, f, c in zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "counts")), strict=True)], bits, weigh=shares(labels, label, parts, held, most))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: tuple[int, int] = (1500, 3000), bits: int = 18) -> Model:
+    """Learns from whole texts of at most `most` documents of either label outside the held-out fold, weighted for the classes' shares among all of them.
+
+    Without two classes the model answers the one it saw, or even odds. Null and empty texts teach nothing; repeated rows count each.
+    """
+    weigh = shares(labels, label, parts, held, most)
+    with collected(_features(sample(docs, labels, label, parts, held, most), bits)) as rows:
+        return train(rows, bits, weigh=weigh)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score, the softmax's second class for the whole text. A null or empty text has the bias alone. Other columns stay; one named score is replaced."""
+    """Adds score, the softmax's second class for the whole text, however long. A null or empty text has the bias alone.
+
+    Repeated rows get equal scores, no rows give no rows. Other columns stay; one named score is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "score"]
     place = keep.index("text")

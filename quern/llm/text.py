@@ -29,8 +29,9 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i (mod 2**64) for i < n."""
-    size = max(CHUNK + 1, n)
-    if size not in _powers:
+    size = min(CHUNK + 1, 1 << n.bit_length()) if n <= CHUNK + 1 else n
+    kept = max(_powers, default=0)
+    if kept < size:
         both = []
         for p in (_P, _PINV):
             x = np.full(size, p, U64)
@@ -38,8 +39,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             both.append(np.multiply.accumulate(x))
         if size > CHUNK + 1:
             return both[0], both[1]
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
+        _powers.clear()
+        _powers[kept := size] = (both[0], both[1])
+    return _powers[kept]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import text as tx
-from quern.llm.labelled import fold, sample
+from quern.llm.labelled import collected, fold, numbers, sample, smallest
 from quern.llm.labelled import weights as shares
 from quern.llm.shared import documents
 
@@ -57,28 +57,33 @@ class Sentences:
 
 
 def _features(docs: DataFrame, bits: int) -> DataFrame:
-    """doc_id, label and, by word, its bucket and sentence, each as bytes of 32-bit integers."""
+    """doc_id, label and, as bytes, the document's distinct buckets (32 bits), each word's number among them (labelled.smallest) and each sentence's number of words (8 bits)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for lo, hi, data, off in tx.chunks(batch.column(1)):
                 s = Sentences(data, off, bits)
+                length = np.diff(np.append(s.starts, len(s.of))).astype(np.uint8)
                 word_doc = s.doc[s.of] if len(s.of) else s.of
                 ends = np.searchsorted(word_doc, np.arange(hi - lo + 1))
                 first = np.searchsorted(s.doc, np.arange(hi - lo + 1))
-                rel = s.of - first[word_doc] if len(s.of) else s.of
-                lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (s.buckets, rel)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), *lists], ["doc_id", "label", "buckets", "sentences"])
+                lists: list[list[bytes]] = [[], [], []]
+                for i in range(hi - lo):
+                    distinct, back = np.unique(s.buckets[ends[i] : ends[i + 1]], return_inverse=True)
+                    for x, v in zip(lists, (distinct.astype(np.int32).tobytes(), smallest(back), length[first[i] : first[i + 1]].tobytes()), strict=True):
+                        x.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, hi - lo), batch.column(2).slice(at, hi - lo), *(pa.array(x, pa.binary()) for x in lists)], ["doc_id", "label", "buckets", "words", "lengths"])
                 at += hi - lo
 
-    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, sentences binary")
+    return docs.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, buckets binary, words binary, lengths binary")
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int = 12, rate: float = 2.0, sparse: float = 1.0, shrink: float = 0.1, rare: int = 4, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """rows: (label, buckets, sentences) by document; weigh: what documents of labels 0 and 1 weigh.
+def train(rows: list[tuple[int, memoryview, memoryview, memoryview]], bits: int, epochs: int = 12, rate: float = 2.0, sparse: float = 1.0, shrink: float = 0.1, rare: int = 4, weigh: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: (label, distinct buckets, words, sentences' lengths) by document, as _features has them; weigh: what documents of labels 0 and 1 weigh.
 
     Proximal stochastic gradient steps with a sparsity penalty (FTRL): words that few documents have, or that say little, weigh nothing.
+    Besides the rows, memory is four arrays of 2**bits.
     """
     rng = np.random.default_rng(7)
     size = 1 << bits
@@ -86,21 +91,20 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
     if positive in (0, len(rows)):
         return Model(bits, np.zeros(size, np.float32), 20.0 if positive else -20.0)
     weights, z, n, often = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
-    data = []
-    for label, buckets, of in rows:
-        if len(buckets):
-            distinct, back = np.unique(buckets, return_inverse=True)
-            often[distinct] += 1
-            data.append((label, buckets, of, distinct, back))
+    some = [r for r in rows if len(r[1])]
+    for r in some:
+        often[np.frombuffer(r[1], np.int32)] += 1
     bias, seen = -6.0, 1.0
     for _ in range(epochs):
-        for i in rng.permutation(len(data)):
-            label, buckets, of, f, back = data[i]
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, weights[buckets]) + bias, -30, 30)))
+        for i in rng.permutation(len(some)):
+            label, f, back, length = some[i]
+            f, length = np.frombuffer(f, np.int32), np.frombuffer(length, np.uint8).astype(np.int64)
+            back = numbers(back, int(length.sum()))
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[f][back], np.cumsum(length) - length) + bias, -30, 30)))
             none = np.exp(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
             up = p * (none / max(1 - none, 1e-6)) if label else -p  # derivative of the log-likelihood by each sentence's logit
             up = up * weigh[label]
-            grad = -np.bincount(back, up[of]) * (often[f] >= rare)
+            grad = -np.bincount(back, np.repeat(up, length)) * (often[f] >= rare)
             more = n[f] + grad * grad
             z[f] += grad - (np.sqrt(more) - np.sqrt(n[f])) / rate * weights[f]
             n[f] = more
@@ -112,17 +116,21 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0, most: tuple[int, int] = (6000, 3000), bits: int = 20) -> Model:
-    """Learns from at most `most` documents of labels 0 and 1 outside the held-out fold, weighted for the classes' shares among all of them. With one class or none the model answers that, or no."""
-    got = _features(sample(docs, labels, label, parts, held, most), bits).toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
-    rows = zip(*(got.column(k).to_pylist() for k in ("label", "buckets", "sentences")), strict=True)
-    return train([(y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64)) for y, b, s in rows], bits, weigh=shares(labels, label, parts, held, most))
+    """Learns from whole texts of at most `most` documents of labels 0 and 1 outside the held-out fold, weighted for the classes' shares among all of them.
+
+    With one class or none the model answers that, or no. Null and empty texts teach nothing; repeated rows count each. A sentence ends at . ! ? or a
+    line's end, and after LONGEST words.
+    """
+    weigh = shares(labels, label, parts, held, most)
+    with collected(_features(sample(docs, labels, label, parts, held, most), bits)) as rows:
+        return train(rows, bits, weigh=weigh)
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
     """Adds score (noisy-or over the whole text's sentences) and sentences, those of a score of `offending` or more: start, end (code points), score.
 
-    A null or empty text, or one without words, has score 0 and no sentences. Repeated rows get equal scores; other columns stay, but for
-    ones named score or sentences, which are replaced.
+    Texts of any length are scored whole. A null or empty text, or one without words, has score 0 and no sentences. Repeated rows get equal
+    scores, no rows give no rows; other columns stay, but for ones named score or sentences, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "sentences")]
