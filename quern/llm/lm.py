@@ -1,12 +1,12 @@
 """Operator 7: language-model scores from a subword lattice.
 
-A word's probability sums over all its segmentations into pieces of an existing vocabulary, by forward
-recursion in log space. Pieces weigh what the vocabulary's own scores say (a score of -r, as rank r, counts as
-1 / (r + 1)), as a prior to how often they occur in the training texts. The word as a whole is one more arc, with its share of the training
-tokens; Witten-Bell weights divide the mass between that arc and the lattice, so unseen words are scored too.
+A text's probability sums over all its segmentations into pieces of an existing vocabulary, by forward recursion in
+log space. Pieces don't cross words, so the lattice of a text is its words' lattices one behind the other, and each distinct
+word is summed once. Half of a piece's weight comes from the vocabulary's own scores, half from how often the
+vocabulary's segmentation of the training texts has it.
 
-Counts are exact and cover the whole corpus. Documents are taken in blocks of bounded size as they are read;
-a block asks for the counts of its distinct words only, so a frequent word is a row per block and no more.
+Counts are exact and cover the whole corpus. Those of the most frequent words (a bounded number) are broadcast; other
+words are joined by hash, a row for each document that has one. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,21 +16,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import text as tx
 from quern.llm.labelled import fold
-from quern.llm.shared import documents, materialize
+from quern.llm.shared import documents, materialize, release
 
 #: The token at the end of a text, as a word's hash.
 END = np.uint64(0x0123456789ABCDEF)
-#: Bytes of text of a block.
-BLOCK = 24_000_000
 STOP = 0.3  # share of pieces that end a word
-PRIOR = 1000.0  # training pieces that the vocabulary's own scores count for
+SCORES = 0.5  # share of a piece's weight that the vocabulary's own scores give, however many texts are learnt from
+HELD = 400_000  # distinct words that a task holds at once
+FREQUENT = 1 << 20  # words whose counts are broadcast, at most
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = 0xFF  # stands for the sign of a word's begin; no UTF-8 text has that byte
@@ -43,7 +42,7 @@ def vocabulary_path() -> str:
 
 
 class Pieces:
-    """The vocabulary: a hash table of its pieces as bytes, and their prior weights."""
+    """The vocabulary: a hash table of its pieces as bytes, and prior, their probabilities by its own scores: a score of -r, as rank r, counts as 1 / (r + 1)."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -55,7 +54,7 @@ class Pieces:
         for i in range(n):
             if self.model.is_byte(i):
                 raw.setdefault(bytes([int(self.model.id_to_piece(i)[3:5], 16)]), i)
-                self.prior[i] = 1e-3
+                self.prior[i] = 1 / n  # bytes have no scores; they weigh what the last rank does
             elif not (self.model.is_control(i) or self.model.is_unknown(i)):
                 raw[self.model.id_to_piece(i).encode().replace("▁".encode(), bytes([_MARK]))] = i
                 self.prior[i] = 1 / (abs(self.model.get_score(i)) + 1)
@@ -71,9 +70,9 @@ class Pieces:
         self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each piece's weight, in the order of keys."""
-        p = counts + PRIOR * self.prior
-        return np.log(np.maximum(p / p.sum(), 1e-12))[self.ids]
+        """Natural logarithm of each piece's probability, in the order of keys: that of the scores, mixed with its share of counts, where there are any."""
+        p = SCORES * self.prior + (1 - SCORES) * counts / counts.sum() if counts.any() else self.prior
+        return np.log(np.maximum(p, 1e-12))[self.ids]
 
 
 @cache
@@ -133,154 +132,146 @@ def marginals(v: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     return forward[first + np.arange(len(words)) + size] + np.log(STOP / (1 - STOP))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of the batches with the number of their block: by partition, and in it by bytes of text. The same input gives the same blocks."""
-    part, size = TaskContext.get().partitionId() << 24, 0
-    for batch in batches:
-        lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        block = (size + np.cumsum(lens) - lens) // BLOCK
-        size += int(lens.sum())
-        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield part + int(block[a]), batch.slice(a, b - a)
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    """(block, word, n): each block's distinct words, by hash, and how often its training texts have them."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            words = np.concatenate([w for w, _ in parts])
-            n = np.concatenate([c for _, c in parts])
-            distinct, back = np.unique(words, return_inverse=True)
-            total = np.bincount(back, n, len(distinct)).astype(np.int64)
-            for k in range(0, len(distinct), 100_000):
-                w = distinct[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), pa.array(w.view(np.int64)), pa.array(total[k : k + 100_000])], ["block", "word", "n"])
-
-        for b, batch in _blocks(batches):
-            if parts and b != block:
-                yield from done()
-                parts = []
-            block = b
-            train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            at = 0
-            for lo, hi, data, off in tx.chunks(batch.column(1)):
-                w = tx.Words(data, off)
-                weight = np.repeat(train[at : at + hi - lo], np.diff(w.first))
-                at += hi - lo
-                distinct, back = np.unique(w.hashes, return_inverse=True)
-                parts.append((distinct, np.bincount(back, weight, len(distinct))))
-            parts.append((np.array([END]), np.array([train.sum()])))
-        if parts:
-            yield from done()
-
-    return docs.mapInArrow(rows, "block long, word long, n long")
-
-
-def _piece_counts(docs: DataFrame, path: str) -> np.ndarray:
-    """How often the training texts have each piece, as the vocabulary's own segmentation of their words has it."""
+def _counts(texts: DataFrame, path: str) -> DataFrame:
+    """(piece, key, n): each task's distinct words, by hash, and with piece set the vocabulary's pieces, with how often the texts have them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         total = np.zeros(len(v.prior))
-        known, sums = np.zeros(0, np.uint64), np.zeros(0)
-        texts: list[bytes] = []
-
-        def settle() -> None:
-            nonlocal known, sums, texts
-            for k in range(0, len(texts), 20_000):
-                ids = v.model.encode([t.decode() for t in texts[k : k + 20_000]], num_threads=1)
-                total[:] += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), np.repeat(sums[k : k + 20_000], [len(x) for x in ids]), len(total))
-            known, sums, texts = np.zeros(0, np.uint64), np.zeros(0), []
+        hashes, often, words = [np.array([END])], [np.zeros(1)], [b""]
+
+        def batch_of(piece: bool, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(key), 100_000):
+                part = key[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), piece)), pa.array(part.astype(np.uint64).view(np.int64)), pa.array(np.rint(n[k : k + 100_000]).astype(np.int64))], ["piece", "key", "n"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            distinct, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            n = np.bincount(back, np.concatenate(often), len(distinct))
+            for k in range(0, len(first), 20_000):
+                ids = v.model.encode([words[i].decode() for i in first[k : k + 20_000].tolist()], num_threads=1)
+                total[:] += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), np.repeat(n[k : k + 20_000], [len(x) for x in ids]), len(total))
+            hashes[1:], often[1:], words[1:], often[0][:] = [], [], [], 0
+            yield from batch_of(False, distinct[n > 0], n[n > 0])
 
         for batch in batches:
+            often[0] += batch.num_rows
             for _, _, data, off in tx.chunks(batch.column(0)):
                 w = tx.Words(data, off)
                 distinct, where, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                at = np.searchsorted(known, distinct)
-                old = known[np.minimum(at, max(len(known) - 1, 0))] == distinct if len(known) else np.zeros(len(distinct), bool)
-                sums[at[old]] += n[old]
-                new = ~old
                 raw = _LOWER[data].tobytes()
-                fresh = [raw[a:b] for a, b in zip(w.starts[where[new]].tolist(), w.ends[where[new]].tolist(), strict=True)]
-                place = at[new]
-                for_insert = np.insert(np.arange(len(texts)), place, np.arange(len(texts), len(texts) + len(fresh)))
-                both = texts + fresh
-                texts = [both[i] for i in for_insert.tolist()]
-                known, sums = np.insert(known, place, distinct[new]), np.insert(sums, place, n[new])
-                if len(known) > 400_000:
-                    settle()
-        settle()
+                hashes.append(distinct)
+                often.append(n.astype(np.float64))
+                words.extend(raw[a:b] for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True))
+                if len(words) > HELD:
+                    yield from settle()
+        yield from settle()
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
-
-    out = np.zeros(len(pieces(path).prior))
-    for r in docs.mapInArrow(rows, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
-        out[r[0]] = r[1]
-    return out
-
-
-def score(docs: DataFrame, train, path: str | None = None) -> DataFrame:
+        yield from batch_of(True, some, total[some])
+
+    return texts.mapInArrow(rows, "piece boolean, key long, n long")
+
+
+class _Marginals:
+    """Natural logarithms of words' probabilities; those of up to HELD words are remembered by hash."""
+
+    def __init__(self, v: Pieces, weights: np.ndarray):
+        self.v, self.weights = v, weights
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, distinct: np.ndarray, text) -> np.ndarray:
+        """distinct: sorted hashes; text(i): the word with the i-th."""
+        if len(self.keys) > HELD:
+            self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        at = np.searchsorted(self.keys, distinct)
+        old = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~old)
+        out = np.empty(len(distinct))
+        out[old] = self.values[at[old]]
+        out[new] = marginals(self.v, self.weights, [text(i) for i in new.tolist()])
+        self.keys, self.values = np.insert(self.keys, at[new], distinct[new]), np.insert(self.values, at[new], out[new])
+        return out
+
+
+def _frequent(totals: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, by sorted hash, and counts of those that occur at least 2**k times, for the least k that leaves `most` or fewer."""
+    power = F.floor(F.log2("total")).cast("int")
+    steps = sorted(totals.groupBy(power.alias("power")).agg(F.count("*")).collect(), reverse=True)  # at most 63 rows
+    least, words = 64, 0
+    for k, n in steps:
+        words += n
+        if words > most:
+            break
+        least = k
+    table = totals.filter(power >= least).toArrow()
+    word = table.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return word[order], table.column("total").to_numpy()[order]
+
+
+def score(docs: DataFrame, train, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text; others are ignored).
 
-    train is a boolean column: the texts to learn from. Scores are log10 probabilities; a null or empty text is its end alone. A
+    train is a boolean column: the texts to learn from. Scores are log10 probabilities of whole texts, however long; a null or empty text is its end alone.
+    score: a text ends with the share of the training tokens that are ends (plus one of two), else a word follows, of the lattice's probability. A
     null doc_id counts as not for training if `train` is null for it. No training texts: counts are 0, and scores come from the
-    vocabulary. Repeated rows are scored and counted each. Words are known by 64-bit hashes.
+    vocabulary. Repeated rows are scored and counted each; no rows give no rows. Words are known by 64-bit hashes. At most `frequent` words' counts are broadcast.
     """
     path = path or vocabulary_path()
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    counted = materialize(_counts(rows.filter("train").select("text"), path), "counts")
     v = pieces(path)
-    weights = v.weights(_piece_counts(rows.filter("train").select("text"), path))
-    by = Window.partitionBy("word")
-    asked = _counted(rows).withColumn("total", F.sum("n").over(by)).withColumn("first", F.row_number().over(by.orderBy("block")) == 1)
-    asked = materialize(asked.select("block", "word", "total", "first"), "counts")
-    known = asked.filter("first and total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    n, distinct = int(known[0]), int(known[1])
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, block))], ["doc_id", "text", "train", "block"])
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        if not left.num_rows:
-            return kind.empty_table()
-        v = pieces(path)
-        words = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        words, total = words[order], right.column("total").to_numpy()[order]
-        log_p = np.full(len(words), np.nan)  # the lattice's, where it is known already
-        mass = distinct / (n + distinct) if n else 1.0
-        every = np.log10((total + 0.1) / (n + 0.1 * (distinct + 1)))
-        share = (1 - mass) * total / max(n, 1)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi, data, off in tx.chunks(left.column("text").combine_chunks()):
-            w = tx.Words(data, off)
-            h = w.hashes
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            if not (words[at] == h).all():
-                raise RuntimeError("the input was partitioned differently when its words were counted")
-            new, where = np.unique(at[np.isnan(log_p[at])], return_index=True)
-            where = np.flatnonzero(np.isnan(log_p[at]))[where]
-            raw = _LOWER[data].tobytes()
-            log_p[new] = marginals(v, shared.value, [raw[a:b] for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)])
-            mixed = np.logaddexp(np.log(np.maximum(share[at], 1e-300)), np.log(mass) + log_p[at]) / np.log(10)
-            end = np.searchsorted(words, END)
-            run = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
-            sums = [run(x)[w.first[1:]] - run(x)[w.first[:-1]] for x in (every[at], mixed, total[at] > 0)]
-            out[0].append(np.diff(w.first) + 1)
-            out[1].append(np.rint(sums[2]).astype(np.int64) + int(total[end] > 0))
-            out[2].append(sums[0] + every[end])
-            out[3].append(sums[1] + np.log10(max(share[end], 1e-9)))
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("train"), *(pa.array(np.concatenate(x)) for x in out)], schema=kind)
-
-    tagged = rows.mapInArrow(tag, "doc_id long, text string, train boolean, block long")
-    got = tagged.groupBy("block").cogroup(asked.select("block", "word", "total").groupBy("block")).applyInArrow(judge, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return got.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    counts = np.zeros(len(v.prior))
+    for r in counted.filter("piece").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        counts[r[0]] = r[1]
+    totals = materialize(counted.filter("not piece").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("total")), "totals")
+    release(counted)
+    end = int(END.view(np.int64))
+    n, distinct, ends = (int(x) for x in totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("total"))), F.lit(0))).first())
+    scale = np.log10(n + 0.1 * (distinct + 1))
+    stop = (ends + 1) / (n + 2)
+    shared = spark.sparkContext.broadcast((v.weights(counts), *_frequent(totals, frequent)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known, total = shared.value
+        lattice = _Marginals(pieces(path), weights)
+        row = TaskContext.get().partitionId() << 33
+        pair = pa.struct([("word", pa.int64()), ("k", pa.int64())])
+        for batch in batches:
+            at = 0
+            for lo, hi, data, off in tx.chunks(batch.column(1)):
+                m = hi - lo
+                w = tx.Words(data, off)
+                words, where, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+                raw = _LOWER[data].tobytes()
+                log_p = lattice.of(words, lambda i, raw=raw, w=w, where=where: raw[w.starts[where[i]] : w.ends[where[i]]])
+                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                often = known[place] == words if len(known) else np.zeros(len(words), bool)
+                base = np.where(often, np.log10((total[place] if len(known) else 0) + 0.1) - scale, 0.0)
+                doc = np.repeat(np.arange(m), np.diff(w.first))
+                rare = np.flatnonzero(~often[back])
+                pairs, k = np.unique(doc[rare] * len(words) + back[rare], return_counts=True)
+                of = pairs // max(len(words), 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(m + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(words[pairs - of * len(words)].view(np.int64)), pa.array(k)], fields=list(pair)))
+                many = np.diff(w.first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(many + 1),
+                        pa.array(np.bincount(doc, often[back], m).astype(np.int64) + int(ends > 0)), pa.array(np.bincount(doc, base[back], m) + np.log10(ends + 0.1) - scale),
+                        pa.array(np.bincount(doc, log_p[back], m) / np.log(10) + many * np.log10(1 - stop) + np.log10(stop)), lists,
+                    ],
+                    ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score", "rare"],
+                )
+                row += m
+                at += m
+
+    kind = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,k:long>>"
+    scored = materialize(rows.mapInArrow(judge, kind), "scored")
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.k").join(totals, "word", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    rest = rare.groupBy("row").agg(F.sum(F.when(F.col("total") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (F.log10(F.col("total") + 0.1) - float(scale))).alias("rest"))
+    got = scored.drop("rare").join(rest, "row", "left")
+    return got.select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
