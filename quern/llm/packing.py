@@ -19,8 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import text as tx
 from quern.llm.shared import documents, materialize
@@ -253,22 +255,72 @@ def plan(counts: dict[int, int], size: int, max_docs: int, max_attention: int, w
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack(parts: DataFrame, size: int = 4096, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), select: str = "norm") -> DataFrame:
+def _numbered(parts: DataFrame) -> DataFrame:
+    """(row: the columns of parts, length, part, nth): the task that read a row, and how many rows of that length it had before."""
+    rows = parts.select(F.struct(*(parts[c] for c in parts.columns)).alias("row"), parts["length"].cast("long").alias("length"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen: dict[int, int] = defaultdict(int)
+        for batch in batches:
+            length = batch.column(1).to_numpy()
+            order = np.argsort(length, kind="stable")
+            distinct, first, n = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.repeat(first - np.array([seen[x] for x in distinct.tolist()], np.int64), n)
+            for x, k in zip(distinct.tolist(), n.tolist(), strict=True):
+                seen[x] += k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part)), pa.array(nth)], ["row", "length", "part", "nth"])
+
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("nth", T.LongType())]))
+
+
+def sequences(steps: np.ndarray, counts: dict[int, int]) -> int:
+    """How many bins a plan fills."""
+    if not len(steps):
+        return 0
+    until = np.append(steps[1:, 1], 0)
+    last = np.append(steps[1:, 0] != steps[:-1, 0], True)
+    until[last] = [counts[x] for x in steps[last, 0].tolist()]
+    return int((steps[:, 2] + (until - steps[:, 1] - 1) // steps[:, 3]).max()) + 1
+
+
+def tightest(counts: dict[int, int], size: int, max_attention: int, weights: tuple[float, float, float], select: str) -> tuple[np.ndarray, int]:
+    """The plan under the smallest document capacity, doubled from the mean, that takes no more sequences than none would; and that capacity."""
+    steps = plan(counts, size, size, max_attention, weights, select)
+    fewest = sequences(steps, counts)
+    most = -(-sum(counts.values()) // max(fewest, 1))
+    while 0 < most < size:
+        tried = plan(counts, size, most, max_attention, weights, select)
+        if sequences(tried, counts) <= fewest:
+            return tried, most
+        most *= 2
+    return steps, size
+
+
+#: Weights of the residual tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.2, 0.2)
+
+
+def pack(parts: DataFrame, size: int = 4096, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, select: str = "norm") -> DataFrame:
     """Adds sequence_id and offset to rows of (doc_id, piece, length, ...): as few sequences of at most `size` tokens as best-fit finds.
 
-    max_docs bounds the pieces of a sequence and max_attention the sum of their squared lengths; by default neither
-    binds. Lengths are from 1 to size. Equal rows are packed each; no rows give no rows.
+    max_docs bounds the pieces of a sequence (default: as tightly as it can without a sequence more, see tightest) and max_attention the sum of their
+    squared lengths (default: that of one piece of `size` tokens). Lengths are from 1 to size. Equal rows are packed each; no rows give no rows. Other columns stay, whatever their names, but for
+    ones named sequence_id or offset, which are replaced.
+
+    Pieces are numbered by length and the task that reads them, so there is no sort of a frequent length's rows, only of its tasks.
     """
     spark = parts.sparkSession
-    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most `size` rows
-    steps = plan(counts, size, max_docs or size, max_attention or size * size, weights, select)
+    keep = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    table = materialize(_numbered(parts.select(*keep)), "pieces")
+    cells = materialize(table.groupBy("length", "part").agg(F.count("*").alias("rows")), "cells")
+    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("rows")).collect()}  # at most `size` rows
+    attention = max_attention or size * size
+    steps = plan(counts, size, max_docs, attention, weights, select) if max_docs else tightest(counts, size, attention, weights, select)[0]
     key = spark.sparkContext.broadcast(((steps[:, 0] << 44) | steps[:, 1], steps))
-    salts = max(1, sum(counts.values()) // 1024)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = salted.groupBy("length", "salt").agg(F.count("*").alias("rows"))
-    before = before.select("length", "salt", (F.sum("rows").over(Window.partitionBy("length").orderBy("salt")) - F.col("rows")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1).join(before, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
+    before = cells.select("length", "part", (F.sum("rows").over(Window.partitionBy("length").orderBy("part")) - F.col("rows")).alias("before"))
+    ranked = table.join(before, ["length", "part"]).select("row", "length", (F.col("nth") + F.col("before")).alias("rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -278,15 +330,16 @@ def pack(parts: DataFrame, size: int = 4096, max_docs: int | None = None, max_at
         k = r - s[:, 1]
         return pd.DataFrame({"sequence_id": s[:, 2] + k // s[:, 3], "offset": s[:, 4] + k % s[:, 3] * x})
 
-    return ranked.withColumn("at", place("length", "rank")).select(*parts.columns, "at.sequence_id", "at.offset")
+    return ranked.select("row", place("length", "rank").alias("at")).select("row.*", "at.sequence_id", "at.offset")
 
 
 def best_fit_pack(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int = 1, **options) -> DataFrame:
     """Documents (doc_id, text; more columns are ignored) to pieces in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Longer than `size` tokens: cut every `size`. Repeated rows are packed each. No rows: no rows.
+    A null or empty text is the end id alone, a null doc_id stays null. Texts of any length are encoded whole; those longer than `size` tokens are cut every `size`.
+    Repeated rows are packed each. No rows: no rows.
     """
-    return pack(materialize(pieces(docs, size, path or tokenizer_path(), end_id), "pieces"), size, **options)
+    return pack(pieces(docs, size, path or tokenizer_path(), end_id), size, **options)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
