@@ -1,10 +1,10 @@
 """Operator 8: benchmark decontamination.
 
-All n-grams of the test items are seeds, however often the corpus has them. Seeds join passages to items, and
-Smith-Waterman alignment of the passage's words with the item's scores each, so edited and paraphrased copies
-count too. Passages that can't reach the least similarity are left out before, by an upper bound of the score.
-Items are broadcast in blocks of bounded size, hence texts are never shuffled: each document is searched and
-aligned where it is read.
+All n-grams of the test items are seeds, however often the corpus has them: a limit of rarity would lose edited copies
+that are spread widely. Seeds join passages to items, and Smith-Waterman alignment of the passage's words with the
+item's scores each, so edited and paraphrased copies count too. Passages that can't reach the least similarity are left
+out before, by an upper bound of the score. Items are broadcast in blocks of bounded bytes, hence texts are never
+shuffled: each row is searched and aligned where it is read.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import text as tx
 from quern.llm.shared import documents
@@ -24,6 +25,10 @@ from quern.llm.toxicity import _APART
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds' hits that are handled at once, at document boundaries; a document with more is handled alone.
 HITS = 1 << 20
+#: Bytes of items' texts that are broadcast at once, as arrays of some twenty times that; a longer item is a block of its own size.
+BLOCK = 4_000_000
+#: Least score of an alignment, as a share of the item's with itself. An item with 30 % of its words replaced has 0.55 on average.
+SIMILARITY = 0.4
 
 
 @dataclass
@@ -34,7 +39,7 @@ class Items:
     singles, and in pairs that of it and the word before (-1 for an item's first); first: each item's first word.
     """
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
@@ -55,7 +60,7 @@ def _hashes(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _items(rows: list[tuple[int, str]], n: int) -> Items:
+def _items(rows: list[tuple[int | None, str]], n: int) -> Items:
     words = _hashes(pa.array([t for _, t in rows], pa.large_string()))
     grams = [tx.ngrams(w, n) for w in words]
     flat = np.concatenate([np.zeros(0, np.uint64), *grams])
@@ -159,8 +164,16 @@ def _slices(weights: np.ndarray, group: np.ndarray, most: int) -> list[tuple[int
     return out
 
 
-def _search(docs: DataFrame, items: Items, n: int, least: int, similarity: float) -> DataFrame:
+_FOUND = T.StructType().add("item_id", "long").add("similarity", "double").add("start", "integer").add("end", "integer")
+
+
+def _search(docs: DataFrame, keep: list[str], into: str, items: Items, n: int, least: int, similarity: float) -> DataFrame:
+    """Rows of docs (text) with the columns `keep` and `into`, an array of the items found in each."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    schema = docs.select(*keep).schema.add(into, T.ArrayType(_FOUND))
+    sent = keep if "text" in keep else [*keep, "text"]
+    place = sent.index("text")
+    kind = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def passages(w: tx.Words, words: np.ndarray, block: Items, index: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, first word, word after the last) of a chunk's passages that can be similar enough."""
@@ -198,8 +211,9 @@ def _search(docs: DataFrame, items: Items, n: int, least: int, similarity: float
         index, begin = np.unique(block.grams, return_index=True)
         end = np.append(begin[1:], len(block.grams))
         for batch in batches:
+            rest = batch.columns[: len(keep)]
             at = 0
-            for lo, hi, data, off in tx.chunks(batch.column(1)):
+            for lo, hi, data, off in tx.chunks(batch.column(place)):
                 w = tx.Words(data, off, _APART)
                 words = w.hashes
                 found: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -210,34 +224,56 @@ def _search(docs: DataFrame, items: Items, n: int, least: int, similarity: float
                     if share >= similarity and share > found.get((d, k), (0, 0, 0))[0]:
                         found[d, k] = (share, left + s, left + e)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
+                of = []
                 for (d, k), (share, s, e) in sorted(found.items()):
                     base = points[off[d]]
-                    for x, v in zip(out, (at + d, block.ids[k], share, int(points[w.starts[s]] - base), int(points[w.ends[e - 1]] - base)), strict=True):
+                    of.append(d)
+                    for x, v in zip(out, (block.ids[k], share, int(points[w.starts[s]] - base), int(points[w.ends[e - 1]] - base)), strict=True):
                         x.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, t) for x, t in zip(out[1:], (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "item_id", "similarity", "start", "end"])
+                spans = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind, strict=True)], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(hi - lo + 1)), pa.int32()), spans)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, hi - lo) for c in rest), lists], [*keep, into])
                 at += hi - lo
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, item_id long, similarity double, start int, end int")
+    return docs.select(*sent).mapInArrow(rows, schema)
+
+
+def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
+    """The items in blocks of about `most` bytes of text, read one after the other."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // most))
+    for b in range(blocks):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
+        yield _items(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), n)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: int = 2, similarity: float = 0.5, block: int = 20_000) -> DataFrame:
-    """Pairs of documents (doc_id, text) and test items (item_id, text) with a passage that aligns: doc_id, item_id, similarity, start, end.
+def matched(docs: DataFrame, benchmark: DataFrame, into: str = "matches", n: int = 3, least: int = 2, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Documents (text; all columns and rows stay) with a column of the test items (item_id, text) that a passage of theirs aligns with.
 
-    similarity is the alignment's score divided by that of the item with itself; start and end are code points in the document. A seed is any
-    n-gram of an item. A passage needs `least` seeds (or all of a short item's). Items of fewer than n words and null or empty texts match nothing; repeated items and documents each
-    give their pairs, of one document and item the best passage. Items are searched in blocks of `block`, each a pass over the documents.
+    It is an array of item_id, similarity, start and end; a column of its name is replaced. similarity is the alignment's score divided by that of the
+    item with itself; start and end are code points in the document; of one item the best passage counts. A seed is any n-gram of an item. A passage
+    needs `least` seeds (or all of a short item's). Items of fewer than n words and null or empty texts match nothing; texts of any length are searched
+    whole. Rows are judged each, by their text alone, whatever their ids; repeated items match each; no rows give no rows. Rows pass through once for every `block` bytes of items.
     """
-    spark = docs.sparkSession
-    total = benchmark.count()
-    blocks = max(1, -(-total // block))
-    out = None
-    for b in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        rows = sorted((r[0], r[1] or "") for r in part.select(F.col("item_id").cast("long"), "text").collect() if r[0] is not None)  # about `block` items
-        found = _search(docs, _items(rows, n), n, least, similarity)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, end int")
+    keep = [c for c in docs.columns if c != into]
+    out, parts = docs, []
+    for k, items in enumerate(_blocks(benchmark, n, block)):
+        parts.append(f"{into}_{k}")
+        while parts[-1] in docs.columns:
+            parts[-1] += "_"
+        out = _search(out, [*keep, *parts[:-1]], parts[-1], items, n, least, similarity)
+    return out.select(*keep, F.concat(*parts).alias(into))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: int = 2, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, item_id, similarity, start, end) of the matches that matched() finds; a row for each of a document's rows and items."""
+    rows, out = docs.select(F.col("doc_id").cast("long"), "text"), None
+    for items in _blocks(benchmark, n, block):
+        part = _search(rows, ["doc_id"], "found", items, n, least, similarity).select("doc_id", F.explode("found").alias("f"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "f.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
