@@ -58,6 +58,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
+def _before(ranges: DataFrame, most: int, step: int = 1024) -> DataFrame:
+    """(range, before) of distinct ranges: the one before each; the first has null.
+
+    `step` ranges at a time are sorted; of the groups of ranges, which are far fewer where ranges are dense and wider at each level, the ones before
+    are found alike, until at most `most` are left.
+    """
+    if ranges.count() <= most:
+        return ranges.select("range", F.lag("range").over(Window.orderBy("range")).alias("before"))
+    up = materialize(ranges.select("range", F.floor(F.col("range") / step).cast("long").alias("up")), "ranges")
+    last = up.groupBy("up").agg(F.max("range").alias("last"))
+    above = _before(up.select(F.col("up").alias("range")).distinct(), most, step)
+    into = above.select(F.col("range").alias("up"), F.col("before").alias("up_before")).join(last.select(F.col("up").alias("up_before"), "last"), "up_before", "left").select("up", "last")
+    return up.join(into, "up").select("range", F.coalesce(F.lag("range").over(Window.partitionBy("up").orderBy("range")), "last").alias("before"))
+
+
 def with_next(docs: DataFrame, columns: list[str], late: dict[str, Column] | None = None, width: int = 32, most: int = 100_000) -> DataFrame:
     """Adds next_<c> for each column or field, of the row with the next doc_id (after the last: the first); equal ids go by text, a null id is the lowest.
 
@@ -67,14 +82,15 @@ def with_next(docs: DataFrame, columns: list[str], late: dict[str, Column] | Non
     """
     n = docs.count()
     width = max(width, n // most)
-    at = F.floor(F.coalesce("doc_id", F.lit(-(2**62))) / width).cast("long")
-    firsts = docs.select("doc_id").groupBy(at.alias("range")).agg(F.min(F.coalesce("doc_id", F.lit(-(2**62)))).alias("first"))
-    order = Window.orderBy("range")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = materialize(firsts.select("first", F.coalesce(F.lag("range").over(order), F.max("range").over(every)).alias("before")), "ranges")
+    low = F.lit(-(2**62))
+    at = F.floor(F.coalesce("doc_id", low) / width).cast("long")
+    firsts = materialize(docs.select("doc_id").groupBy(at.alias("range")).agg(F.min(F.coalesce("doc_id", low)).alias("first")), "firsts")
+    around = firsts.agg(F.max("range")).first()[0]
+    firsts = firsts.join(_before(firsts.select("range"), most), "range").select("first", F.coalesce("before", F.lit(around)).alias("before"))
+    firsts = materialize(firsts, "ranges")
     if firsts.count() <= 10 * most:
         firsts = F.broadcast(firsts)
-    rows = docs.join(firsts, F.coalesce("doc_id", F.lit(-(2**62))) == F.col("first"), "left").drop("first")
+    rows = docs.join(firsts, F.coalesce("doc_id", low) == F.col("first"), "left").drop("first")
     own = F.struct(at.alias("range"), F.lit(False).alias("ahead"))
     dealt = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))))
     rows = rows.withColumn("deal", F.explode(dealt)).select(*docs.columns, "deal.range", "deal.ahead")
@@ -84,7 +100,10 @@ def with_next(docs: DataFrame, columns: list[str], late: dict[str, Column] | Non
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint for each row of docs (doc_id, text; others are ignored). Equal texts have equal fingerprints; an empty or null text's has empty arrays."""
+    """doc_id and fingerprint for each row of docs (doc_id, text; others are ignored).
+
+    Equal texts have equal fingerprints, of whole texts however long; an empty or null text's has empty arrays. Repeated rows get one each, whatever their ids; no rows give no rows.
+    """
     return docs.select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
 
 
