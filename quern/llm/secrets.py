@@ -28,22 +28,43 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Parts that one fold adds up; it copies what it has for each, so that many squared is the cost of so many parts, whatever their number.
+_RUN = 128
+
+
+def _places(lengths: Column) -> Column:
+    """Array of the sums of the entries before each. Runs of entries are folded by themselves and then lifted by the runs before them."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    none = F.array().cast("array<int>")
+
+    def within(run: Column) -> Column:
+        return F.aggregate(run, F.struct(F.lit(0).alias("sum"), none.alias("out")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")))["out"]
+
+    def lifted(runs: Column) -> Column:
+        return _let(within(F.transform(runs, total)), lambda before: F.flatten(F.transform(runs, lambda run, i: F.transform(within(run), lambda x: x + F.get(before, i)))))
+
+    runs = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_RUN)), lambda i: F.slice(lengths, i, F.lit(_RUN)))
+    return _let(runs, lifted)
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """Array of (start, no, end, kind, value) of the kind's matches: marks are put around them and their places counted."""
+    """Array of (start, no, end, kind, value) of the kind's matches: marks are put around them, and the parts' lengths give their places."""
     pattern, no = PATTERNS[kind], KINDS.index(kind)
     value = (lambda m: F.regexp_extract(m, pattern, 2)) if kind == "assign" else (lambda m: m)
-    empty = F.array().cast("array<struct<start:int,no:int,end:int,kind:string,value:string>>")
 
-    def step(acc: Column, part: Column) -> Column:
-        found = F.substring_index(part, _CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), F.lit(no).alias("no"), (acc["at"] + F.length(found)).alias("end"), F.lit(kind).alias("kind"), value(found).alias("value"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(parts: Column) -> Column:
+        # every part but the first begins with a match and has one mark more than the text
+        def of(places: Column) -> Column:
+            def span(part: Column, i: Column) -> Column:
+                found, start = F.substring_index(part, _CLOSE, 1), F.get(places, i + 1) - i
+                return F.struct(start.alias("start"), F.lit(no).alias("no"), (start + F.length(found)).alias("end"), F.lit(kind).alias("kind"), value(found).alias("value"))
 
-    spans = _let(
-        F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN),
-        lambda p: F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.struct(F.length(p[0]).alias("at"), empty.alias("spans")), step)["spans"],
-    )
-    return F.filter(spans, lambda s: F.length(s["value"]) >= 6) if kind == "assign" else spans
+            return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), span)
+
+        return _let(_places(F.transform(parts, lambda p: F.length(p))), of)
+
+    out = _let(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN), spans)
+    return F.filter(out, lambda s: F.length(s["value"]) >= 6) if kind == "assign" else out
 
 
 def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -59,7 +80,8 @@ def secrets(docs: DataFrame, owner: str = "source", shared_by: int = 3) -> DataF
     """doc_id, spans (start, no, end, kind, value), n_live and n_shared for each row of docs (doc_id, text, owner; others are ignored).
 
     A value that at least `shared_by` owners have in the corpus is a shared example. Of the rest, those of 16 characters or more with
-    letters and digits count as live. Rows without an owner count as one owner's. Repeated rows are judged each and count as one repository.
+    letters and digits count as live. Rows without an owner count as one owner's, rows without a doc_id as one repository's (of no count where all have none).
+    Repeated rows are judged each and count as one repository. Null and empty texts have no spans; texts of any length are searched whole; no rows give no rows.
     """
     table = materialize(candidates(docs, owner).withColumn("row", F.monotonically_increasing_id()), "candidates")
     seen = table.filter(F.size("spans") > 0).select("row", "doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans").alias("s"))
