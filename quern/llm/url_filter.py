@@ -22,8 +22,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Listed domains; a host is listed if it is one of them or below one.
 DOMAINS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 BITS_PER_KEY, HASHES = 12, 4
-#: Largest level in bits (8 MB). A list that needs more is joined instead.
+#: Bits that a first level aims at (8 MB). Keys are dealt to as many cascades as that takes, by hash.
 MOST_BITS = 1 << 26
+#: Cascades that are tested in one go over the pages.
+AT_ONCE = 8
 
 
 def host(url: str = "url") -> Column:
@@ -49,7 +51,7 @@ class Cascade:
 
     def __init__(self, universe: DataFrame):
         """universe: distinct (key, listed)."""
-        self.levels: list[tuple[int, DataFrame]] | None = []  # None: too many keys for filters that fit a task
+        self.levels: list[tuple[int, DataFrame]] = []
         rest, among = universe, True  # among: whether this level holds listed keys
         while True:
             mine = rest.filter(F.col("listed") == among)
@@ -57,9 +59,6 @@ class Cascade:
             if not keys:
                 break
             size = max(64, 1 << (keys * BITS_PER_KEY - 1).bit_length())
-            if size > MOST_BITS:
-                self.levels = None
-                return
             bit = mine.select(F.explode(F.array(*_bits(F.col("key"), len(self.levels), size))).alias("bit"))
             words = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
             every = words.unionByName(universe.sparkSession.range(0, size // 64, numPartitions=1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits")))
@@ -96,7 +95,8 @@ def judge(pages: DataFrame, domains: tuple[str, ...] | DataFrame = DOMAINS, rule
 
     A host is listed if it is one of the domains or below one. A null url, or one without ://, has an empty host and path, no rule, and
     isn't listed. A rule fits its host and all hosts below it if the path begins with the rule's; the longest decides, then its listed order. Without a rule the cascade decides: block if listed.
-    Repeated rows are judged each; no rows give no rows.
+    Repeated rows are judged each; no rows give no rows. A list that is too long for one cascade is dealt to several by its keys' hashes, of which AT_ONCE
+    are tested in one pass over the pages; so what a task holds is bounded.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
     table = pages.select(*keep, host().alias("host"), path().alias("path"))
@@ -106,15 +106,20 @@ def judge(pages: DataFrame, domains: tuple[str, ...] | DataFrame = DOMAINS, rule
     ends = table.select("host").distinct().select("host", F.explode(F.array(*keys).cast("array<string>")).alias("key"))
     universe = ends.select("key").distinct().join(listed.withColumn("listed", F.lit(True)), "key", "left")
     universe = materialize(universe.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
-    cascade = Cascade(universe)
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = [below(F.col("host"), h) & F.startswith("path", F.lit(p)) for _, h, p in order]
     pick = lambda values: F.coalesce(*(F.when(f, F.lit(v)) for f, v in zip(fits, values, strict=True)), F.lit(None).cast("string"))
     table = table.withColumn("rule", pick([h + p for _, h, p in order]))
-    if cascade.levels is None:
-        table = table.join(ends.join(universe, "key").groupBy("host").agg(F.bool_or("listed").alias("listed")), "host")
-    else:
-        table = table.withColumn("listed", reduce(lambda a, b: a | b, map(cascade.listed, keys), F.lit(False)))
+    table = table.withColumn("listed", F.lit(False))
+    size = universe.filter("listed").count() * BITS_PER_KEY
+    shards = max(1, -(-size // MOST_BITS))
+    shard = lambda key: F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+    for k in range(shards):
+        cascade = Cascade(universe.filter(shard(F.col("key")) == k) if shards > 1 else universe)
+        here = [(shard(key) == k) & cascade.listed(key) if shards > 1 else cascade.listed(key) for key in keys]
+        table = table.withColumn("listed", reduce(lambda a, b: a | b, here, F.col("listed")))
+        if (k + 1) % AT_ONCE == 0 and k + 1 < shards:
+            table = materialize(table, "pages")
     return table.withColumn("verdict", F.coalesce(pick([v for v, _, _ in order]), F.when(F.col("listed"), "block").otherwise("allow")))
 
 

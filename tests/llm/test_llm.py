@@ -184,9 +184,10 @@ def test_url_filter(spark):
     assert url_filter.judge(df.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("most", [1 << 26, 64])
+@pytest.mark.parametrize("most", [1 << 26, 400])
 def test_url_filter_takes_a_table_of_domains(spark, monkeypatch, most):
     monkeypatch.setattr(url_filter, "MOST_BITS", most)
+    monkeypatch.setattr(url_filter, "AT_ONCE", 2)
     names = [f"junk{i}.example.{tld}" for i in range(40) for tld in ("com", "net", "org")] + ["Deep.A.b.c.example.com", "bad", None, ""]
     domains = spark.createDataFrame([(d, 0) for d in names], "domain string, n int")
     hosts = ["junk3.example.net", "m.junk39.example.org", "xjunk3.example.net", "junk3.example.net.ok", "example.com", "deep.a.b.c.example.com", "x.deep.a.b.c.example.com", "a.b.c.example.com", "bad", "so.bad", "sobad", "", "..", "junk40.example.com"]
