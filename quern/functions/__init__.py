@@ -1 +1 @@
-"""Part of quern."""
+"""Helpers that all parts of the library use."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.vocab import inverse
+
 
 def order_by_md5(*parts: Column | str, seed: str = "0") -> Column:
     """A reproducible pseudo-random order: md5 text of seed and key."""
@@ -42,6 +44,24 @@ def sample_walks(starts: DataFrame, edges: DataFrame, walks: int = 10, hops: int
     return done.distinct()
 
 
+def longest_paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(start, relations, nodes) of the paths of at most `hops` hops that can't be made longer without a revisit; arrays, without the start itself in nodes."""
+    paths = enumerate_paths(starts, edges, hops).select("start", F.split("program", "/").alias("relations"), F.slice("nodes", 2, hops).alias("nodes"), "n")
+    inner = paths.filter(F.col("n") > 1).select("start", F.slice("relations", 1, F.col("n") - 1).alias("relations"), F.slice("nodes", 1, F.col("n") - 1).alias("nodes")).distinct()
+    return paths.join(inner, ["start", "relations", "nodes"], "left_anti").select("start", "relations", "nodes")
+
+
+def prefix_programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
+    """(h, r, program, n): of paths (start, relations, nodes), the relations up to each place that holds an answer (start, r, node) of the facts, once for each distinct prefix of nodes.
+
+    The program that is the fact's own relation is left out.
+    """
+    at = paths.select("start", "relations", "nodes", F.posexplode("nodes").alias("k", "t"))
+    cut = at.select("start", "t", F.slice("relations", 1, F.col("k") + 1).alias("relations"), F.slice("nodes", 1, F.col("k") + 1).alias("nodes")).distinct()
+    hit = cut.join(facts.select(F.col("h").alias("start"), "r", "t"), ["start", "t"]).withColumn("program", F.array_join("relations", "/"))
+    return hit.filter("program != r").groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
+
+
 def programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     """(h, r, program, n): of each fact h -r-> t, programs of paths from h that end in t, with how many do; the program that is the fact's own relation is left out."""
     hit = paths.join(facts.select(F.col("h").alias("start"), "r", F.col("t").alias("end")), ["start", "end"])
@@ -57,27 +77,42 @@ def prior(found: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     return out.select(*(["c"] if clusters is not None else []), "r", "program", "prior")
 
 
-def execute(queries: DataFrame, program_table: DataFrame, edges: DataFrame, branch: int | None = None) -> DataFrame:
-    """(h, r, program, end, n): ends of each (h, r)'s programs (r, program), with the number of walks to each.
+def _longest(programs_: DataFrame) -> int:
+    return programs_.agg(F.max(F.size(F.split("program", "/")))).first()[0] or 0
+
+
+def walk(starts: DataFrame, edges: DataFrame, branch: int | None = None, hidden: DataFrame | None = None, hops: int | None = None) -> DataFrame:
+    """(h, r, program, end, n): ends of the programs of rows (h, r, program), with the number of walks to each.
 
     One join per hop; walks that meet at an entity go on as one row with a count, so the bag of ends isn't expanded. branch: at most so many
-    successors of an entity and relation, those of smallest md5.
+    successors of an entity and relation, those of smallest md5. hidden: facts (h, r, t) that walks of the query (h, r) must not use, nor
+    their inverses. hops: those of the longest program, else counted in the rows.
     """
     steps = edges.select(F.col("h").alias("end"), F.col("r").alias("step"), "t")
     if branch:
         steps = steps.withColumn("k", F.row_number().over(Window.partitionBy("end", "step").orderBy(order_by_md5("end", "step", "t")))).filter(f"k <= {branch}").drop("k")
-    table = program_table.select("r", "program").distinct().withColumn("steps", F.split("program", "/"))
-    now = queries.select("h", "r").distinct().join(table, "r").select("h", "r", "program", "steps", F.col("h").alias("end"), F.lit(1).cast("long").alias("n"))
-    longest = table.agg(F.max(F.size("steps"))).first()[0] or 0
-    done = None
+    now = starts.select("h", "r", "program", F.split("program", "/").alias("steps"), F.col("h").alias("end"), F.lit(1).cast("long").alias("n"))
+    longest = _longest(starts) if hops is None else hops
+    done = now.filter("false").select("h", "r", "program", "end", "n")
     for k in range(longest):
-        now = now.withColumn("step", F.get("steps", F.lit(k))).join(steps, ["end", "step"]).groupBy("h", "r", "program", "steps", F.col("t").alias("end")).agg(F.sum("n").alias("n"))
+        rows = now.withColumn("step", F.get("steps", F.lit(k))).join(steps, ["end", "step"])
+        if hidden is not None:
+            ahead, back = (F.col("end") == F.col("h")) & (F.col("step") == F.col("r")), (F.col("t") == F.col("h")) & (F.col("step") == inverse("r"))
+            rows = rows.withColumn("own", F.when(ahead, F.col("t")).when(back, F.col("end")))
+            rows = rows.join(hidden.select("h", "r", F.col("t").alias("own")).distinct(), ["h", "r", "own"], "left_anti")
+        now = rows.groupBy("h", "r", "program", "steps", F.col("t").alias("end")).agg(F.sum("n").alias("n"))
         over = now.filter(F.size("steps") == k + 1).select("h", "r", "program", "end", "n")
-        done = over if done is None else done.unionByName(over)
+        done = over if k == 0 else done.unionByName(over)
         now = now.filter(F.size("steps") > k + 1)
     return done
 
 
+def execute(queries: DataFrame, program_table: DataFrame, edges: DataFrame, branch: int | None = None) -> DataFrame:
+    """(h, r, program, end, n): ends of each (h, r)'s programs (r, program), with the number of walks to each; see walk."""
+    table = program_table.select("r", "program").distinct()
+    return walk(queries.select("h", "r").distinct().join(table, "r"), edges, branch, hops=_longest(table))
+
+
 def precision(found: DataFrame, edges: DataFrame, facts: DataFrame, clusters: DataFrame | None = None, branch: int | None = None) -> DataFrame:
     """(c, r, program, precision): of all walks of a program from heads of its relation, the share that ends in an answer."""
     ends = execute(facts, found, edges, branch)
@@ -88,8 +123,23 @@ def precision(found: DataFrame, edges: DataFrame, facts: DataFrame, clusters: Da
     return hit.groupBy(*by).agg((F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("precision"))
 
 
+def precision_partials(ends: DataFrame, facts: DataFrame) -> DataFrame:
+    """(h, r, program, good, total): each entity's walks of a program, of ends (h, r, program, end, n), and how many of them end in an answer."""
+    hit = ends.join(facts.select("h", "r", F.col("t").alias("end"), F.lit(1).alias("hit")).distinct(), ["h", "r", "end"], "left")
+    return hit.groupBy("h", "r", "program").agg(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("total"))
+
+
+def scores_of(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by, program, score) of sums (by, program, uses, good, total): prior, the share of the uses, times precision; programs without uses or walks have none."""
+    of = sums.withColumn("prior", F.col("uses") / F.sum("uses").over(Window.partitionBy(*by)))
+    return of.filter("uses > 0 and total > 0").select(*by, "program", (F.col("prior") * (F.col("good") / F.col("total"))).alias("score"))
+
+
 def with_fallback(pairs: DataFrame, by_cluster: DataFrame, overall: DataFrame, value: str) -> DataFrame:
-    """Adds value from the cluster's table (c, r, program), else from the overall one (r, program), else 0."""
+    """Adds value to pairs (c, r, program, ...) from the cluster's table (c, r, program), else from the overall one (r, program), else 0.
+
+    Scores of programs fall back as a whole (see scores_of): a prior of the cluster isn't multiplied by an overall precision.
+    """
     a = by_cluster.select("c", "r", "program", F.col(value).alias("_c"))
     b = overall.select("r", "program", F.col(value).alias("_a"))
     return pairs.join(a, ["c", "r", "program"], "left").join(b, ["r", "program"], "left").withColumn(value, F.coalesce("_c", "_a", F.lit(0.0))).drop("_c", "_a")

@@ -43,6 +43,42 @@ def by_relation(scores: DataFrame, asked: DataFrame, known: DataFrame) -> DataFr
     return rows.withColumn("rank", F.col("better") - F.col("_k_better") + (F.col("_n") - F.col("_k") + 2) / 2).drop("_n", "_k", "_k_better")
 
 
+def among(rows: DataFrame) -> DataFrame:
+    """Adds ranks to scored answers (q, e, score, known), as if all other known answers of the query weren't there: place (by score, then name), optimistic and tie_aware.
+
+    Two passes of a window over a query's answers; no answer is joined with another one.
+    """
+    other = F.when(F.col("known"), 0).otherwise(1)
+    by = Window.partitionBy("q")
+    ahead = F.coalesce(F.sum(other).over(by.orderBy(F.desc("score"), "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum(other).over(by.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum(other).over(Window.partitionBy("q", "score"))
+    own = 1 - other
+    out = rows.withColumns({"place": (ahead + 1).cast("long"), "optimistic": (upto - ties + 1).cast("long"), "_ties": ties + own})
+    return out.withColumn("tie_aware", F.col("optimistic") - 1 + (F.col("_ties") + 1) / 2).drop("_ties")
+
+
+def top_k(scores: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(q, e, position) of targets (q, e) among the k best answers of their query, from 0, by descending score and then name; null beyond them.
+
+    Only each query's k best leave the window.
+    """
+    first = ordinal(scores, k).select("q", "e", (F.col("rank") - 1).cast("long").alias("position"))
+    return targets.select("q", "e").join(first, ["q", "e"], "left")
+
+
+def top_k_metrics(positions: DataFrame, by: list[str] | None = None, hits: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Hits and mean reciprocal rank of rows with position (from 0); a null is beyond the list and counts 0. Rounded to six places."""
+    has = F.col("position").isNotNull()
+    columns = [F.round(F.avg(F.when(has & (F.col("position") < n), 1.0).otherwise(0.0)), 6).alias(f"hits{n}") for n in hits]
+    return positions.groupBy(*(by or [])).agg(F.count("*").alias("n"), *columns, F.round(F.avg(F.when(has, 1 / (F.col("position") + 1)).otherwise(0.0)), 6).alias("mrr"))
+
+
+def false_negatives(candidates: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
+    """Candidates (q, e, ...) that are no other known answer of their query: the mask of a search, with the target kept."""
+    return filtered(candidates, known, targets)
+
+
 def ordinal(scores: DataFrame, within: int | None = None) -> DataFrame:
     """Adds rank, 1 on, by descending score and then name; within: only the first ones."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "e")))
@@ -54,12 +90,6 @@ def top_list(scores: DataFrame, k: int) -> DataFrame:
     return ordinal(scores, k).groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "e"))), lambda x: x["e"]), ";").alias("top"))
 
 
-def best_per_entity(rows: DataFrame, k: int) -> DataFrame:
-    """Of rows (q, e, path, score): for each entity the best, then the k best entities of a query."""
-    best = rows.groupBy("q", "e").agg(F.max(F.struct("score", "path")).alias("b")).select("q", "e", "b.path", "b.score")
-    return ordinal(best, k)
-
-
 def metrics(ranks: DataFrame, by: list[str] | None = None, hits: tuple[int, ...] = (1, 3, 10), total: Column | None = None) -> DataFrame:
     """Mean reciprocal rank, mean rank and hits of rows with rank; a null rank is an answer not found and counts 0. Rounded to six places."""
     has = F.col("rank").isNotNull()

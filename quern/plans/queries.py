@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.tables import kept, materialize
 from quern.operators import evaluate as ev
 from quern.operators import graph as gr
 from quern.operators import paths as pt
@@ -38,12 +39,14 @@ def query(name: str, oracle: str | None = None, typed: bool = False):
 
 
 def graph(spark: SparkSession, d: str, typed: bool = False) -> DataFrame:
-    """The test graph, kept in memory or on disk; queries with the same plan share it."""
-    return testgraph.graph(spark, d, typed).persist()
+    """The test graph, written once for all queries of an application."""
+    return kept(spark, ("graph", d, str(typed)), lambda: testgraph.graph(spark, d, typed))
 
 
-def part(spark: SparkSession, d: str, split: str = "train", typed: bool = False) -> DataFrame:
-    return graph(spark, d, typed).filter(F.col("split") == split).select("h", "r", "t")
+def part(spark: SparkSession, d: str, split: str | None = "train", typed: bool = False) -> DataFrame:
+    """A split's facts; None: all."""
+    g = graph(spark, d, typed)
+    return (g if split is None else g.filter(F.col("split") == split)).select("h", "r", "t")
 
 
 def _kind(e: str):
@@ -291,7 +294,7 @@ _FOUND = f"""{_PATHS}, found as (select p.start as h, train.r, program, count(*)
 
 
 def _found(g: DataFrame) -> DataFrame:
-    return pt.programs(pt.enumerate_paths(g.select(F.col("h").alias("e")).distinct(), g), g).persist()
+    return materialize(pt.programs(pt.enumerate_paths(g.select(F.col("h").alias("e")).distinct(), g), g), "found")
 
 
 @query("g07_programs", f"with {_FOUND} select * from found", typed=True)
@@ -352,7 +355,7 @@ def _live(spark, d):
     """Reached answers without known ones of train; q is head|relation."""
     scores, test = _answers(spark, d)
     live = scores.join(part(spark, d, typed=True).withColumnRenamed("t", "e"), ["h", "r", "e"], "left_anti")
-    return live.select(F.concat_ws("|", "h", "r").alias("q"), "r", "e", "score").persist(), test.select(F.concat_ws("|", "h", "r").alias("q"), "r", F.col("t").alias("e"))
+    return live.select(F.concat_ws("|", "h", "r").alias("q"), "r", "e", "score"), test.select(F.concat_ws("|", "h", "r").alias("q"), "r", F.col("t").alias("e"))
 
 
 @query("j02_filtered_answers", f"with {_SCORED}, {_FILTERED} select h || '|' || r as q, e, score from live", typed=True)
@@ -363,29 +366,26 @@ def j02(spark, d):
 _TARGET = "target as (select l.h, l.r, l.e, l.score as ts from live l join test t on t.h = l.h and t.r = l.r and t.t = l.e), others as (select l.h, l.r, l.e, l.score from live l left join test t on t.h = l.h and t.r = l.r and t.t = l.e where t.t is null)"
 
 
-def _ranks(spark, d, f):
+def _ranks(spark, d, rank):
+    """(q, e, rank) of each target, among answers that aren't other targets of its query; and the targets."""
     live, gold = _live(spark, d)
-    # each target is ranked among answers that aren't other targets of its query
-    others = live.join(gold.select("q", "e"), ["q", "e"], "left_anti").select("q", "e", "score")
-    mine = live.join(gold.select("q", "e"), ["q", "e"], "left_semi").select("q", "e", "score")
-    one = mine.select(F.concat_ws("|", "q", "e").alias("k"), "q", "e", "score")
-    rows = one.select(F.col("k").alias("q"), "e", "score").unionByName(one.select("k", "q").join(others, "q").select(F.col("k").alias("q"), "e", "score"))
-    return f(rows, one.select(F.col("k").alias("q"), "e")), gold
+    rows = live.join(gold.select("q", "e", F.lit(True).alias("known")), ["q", "e"], "left").select("q", "e", "score", F.coalesce("known", F.lit(False)).alias("known"))
+    return rk.among(rows).filter("known").select(F.concat_ws("|", "q", "e").alias("q"), "e", F.col(rank).alias("rank")), gold
 
 
 @query("r01_tie_aware_rank", f"""with {_SCORED}, {_FILTERED}, {_TARGET} select x.h || '|' || x.r || '|' || x.e as q, x.e, round(sum(case when o.score > ts then 1 else 0 end) + (sum(case when o.score = ts then 1 else 0 end) + 2) / 2.0::double, 6) as rank from target x left join others o on o.h = x.h and o.r = x.r group by x.h, x.r, x.e""", typed=True)
 def r01(spark, d):
-    return _ranks(spark, d, rk.tie_aware)[0].withColumn("rank", F.round("rank", 6))
+    return _ranks(spark, d, "tie_aware")[0].withColumn("rank", F.round("rank", 6))
 
 
 @query("r02_optimistic_rank", f"with {_SCORED}, {_FILTERED}, {_TARGET} select x.h || '|' || x.r || '|' || x.e as q, x.e, cast(sum(case when o.score > ts then 1 else 0 end) + 1 as bigint) as rank from target x left join others o on o.h = x.h and o.r = x.r group by x.h, x.r, x.e", typed=True)
 def r02(spark, d):
-    return _ranks(spark, d, rk.optimistic)[0]
+    return _ranks(spark, d, "optimistic")[0]
 
 
 @query("r05_list_rank", f"with {_SCORED}, {_FILTERED}, {_TARGET} select x.h || '|' || x.r || '|' || x.e as q, x.e, cast(count(o.e) + 1 as bigint) as rank from target x left join others o on o.h = x.h and o.r = x.r and (o.score > ts or (o.score = ts and o.e < x.e)) group by x.h, x.r, x.e", typed=True)
 def r05(spark, d):
-    return _ranks(spark, d, lambda rows, one: rk.ordinal(rows).join(one, ["q", "e"], "left_semi").select("q", "e", F.col("rank").cast("long").alias("rank")))[0]
+    return _ranks(spark, d, "place")[0]
 
 
 @query("r03_top_list", f"with {_SCORED}, {_FILTERED}, o as (select h || '|' || r as q, e, row_number() over (partition by h, r order by score desc, e) as k from live) select q, string_agg(e, ';' order by k) as top from o where k <= 10 group by q", typed=True)
@@ -399,7 +399,7 @@ _CASE = f"""{_SCORED}, {_FILTERED}, {_TARGET}, ranked as (select x.h, x.r, x.e,
 
 
 def _judged(spark, d):
-    ranks, gold = _ranks(spark, d, rk.tie_aware)
+    ranks, gold = _ranks(spark, d, "tie_aware")
     return gold.select(F.concat_ws("|", "q", "e").alias("q"), "r", "e").join(ranks.select("q", "e", "rank"), ["q", "e"], "left")
 
 
