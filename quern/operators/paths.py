@@ -62,6 +62,13 @@ def prefix_programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     return hit.filter("program != r").groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
 
 
+def walk_probabilities(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """(h, t, program, p): walks of two hops between the ends of facts, each hop with equal probability among an entity's edges."""
+    share = edges.withColumn("p", 1 / F.count("*").over(Window.partitionBy("h")).cast("double"))
+    a, b = share.select("h", F.col("r").alias("r1"), F.col("t").alias("mid"), F.col("p").alias("p1")), share.select(F.col("h").alias("mid"), F.col("r").alias("r2"), "t", F.col("p").alias("p2"))
+    return a.join(b, "mid").join(facts.select("h", "t"), ["h", "t"]).select("h", "t", F.concat_ws("/", "r1", "r2").alias("program"), (F.col("p1") * F.col("p2")).alias("p"))
+
+
 def programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     """(h, r, program, n): of each fact h -r-> t, programs of paths from h that end in t, with how many do; the program that is the fact's own relation is left out."""
     hit = paths.join(facts.select(F.col("h").alias("start"), "r", F.col("t").alias("end")), ["start", "end"])

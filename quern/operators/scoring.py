@@ -89,3 +89,37 @@ def label_smoothing(y: Column, n: int, eps: float = 0.1, spread: bool = False) -
 def shaped_reward(hit: Column, fact: Column, mu: float = 1.0, threshold: float = 0.0) -> Column:
     """hit + mu * (1 - hit) * fact; facts below the threshold count 0."""
     return hit + mu * (1 - hit) * F.when(fact < threshold, F.lit(0.0)).otherwise(fact)
+
+
+def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, block: int = 1000) -> DataFrame:
+    """(q, e, score, place): of each query (q, h, r), the k entities (e, t) that score highest, by score in six places and then e. score: a function of the arrays h, r, t.
+
+    Queries are dealt to blocks of about `block`, which are broadcast one after the other; each is a pass over the entities, which stay where they are. Every task sends on
+    no more than k rows of a query.
+    """
+    from pyspark.sql import Window
+
+    blocks, out = max(1, -(-queries.count() // block)), None
+    best = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "e")
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = entities.join(F.broadcast(part)).select("q", "e", score(F.col("h"), F.col("r"), F.col("t")).alias("score"))
+        top = rows.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def relation_weights(paths: DataFrame) -> DataFrame:
+    """(h, t, r, weight): for each pair, by relation the sum of the probabilities of its paths (h, t, relations, p) that have it, once for each time they do."""
+    return paths.select("h", "t", F.explode("relations").alias("r"), "p").groupBy("h", "t", "r").agg(F.sum("p").alias("weight"))
+
+
+def state_embedding(rows: DataFrame, kind: str = "average") -> DataFrame:
+    """(q, v): a query's expected tail from scored candidates (q, e, score, v: array): their average by score, or with e the best one's (ties by e) or one drawn in proportion to the scores by md5 ("sample")."""
+    if kind == "average":
+        sums = rows.select("q", "score", F.posexplode("v").alias("i", "x")).groupBy("q", "i").agg((F.sum(F.col("x") * F.col("score")) / F.sum("score")).alias("x"))
+        return sums.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    # the smallest of -ln(u) / score is each candidate's with a probability in proportion to its score
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", "q", "e").cast("binary")), 1, 12), 16, 10).cast("double") + 1) / (2**48 + 1)
+    key = -F.col("score") if kind == "best" else -F.log(u) / F.col("score")
+    return rows.withColumn("_k", key).groupBy("q").agg(F.min_by(F.struct("e", "v"), F.struct("_k", "e")).alias("b")).select("q", "b.e", "b.v")

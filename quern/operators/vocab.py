@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.tables import materialize
+
 INVERSE = "_inv"
 
 
@@ -34,35 +36,40 @@ def heads_by_relation(edges: DataFrame) -> DataFrame:
     return edges.groupBy("r", "h").agg(F.count("*").alias("n"))
 
 
-def _numbered(names: DataFrame, order: list[Column], first: int) -> DataFrame:
-    """Dense ids in a global order. The sort is by ranges; each range numbers its own rows and adds the sizes of those before it."""
+def numbered(names: DataFrame, order: list[Column], first: int = 0) -> DataFrame:
+    """Adds id, dense numbers in a global order. Rows are sorted by ranges and written once; each range numbers its own rows and adds the sizes of those before it.
+
+    So the sort isn't planned again for the sizes, and no window has all rows; the sizes are a row for each range.
+    """
     ranged = names.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    # the id's low 33 bits count rows within a partition, so no window over all rows is needed
+    ranged = materialize(ranged, "ranged")
+    # the id's low 33 bits count rows within a partition
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn("id", (F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + first).cast("long")).drop("_p", "_i", "_before")
 
 
-def frequency_vocab(edges: DataFrame, reserved: int = 2) -> DataFrame:
-    """(name, freq, id): entities by frequency over distinct edges, then by name; ids start after the reserved ones."""
-    names = edges.select("h", "r", "t").distinct().select(F.explode(F.array("h", "t")).alias("name")).groupBy("name").agg(F.count("*").alias("freq"))
-    return _numbered(names, [F.desc("freq"), F.asc("name")], reserved)
+def frequency_vocab(edges: DataFrame, reserved: int = 2, distinct: bool = False) -> DataFrame:
+    """(name, freq, id): entities by frequency over distinct edges, then by name; ids start after the reserved ones. distinct: edges are known to be."""
+    edges = edges.select("h", "r", "t")
+    names = (edges if distinct else edges.distinct()).select(F.explode(F.array("h", "t")).alias("name")).groupBy("name").agg(F.count("*").alias("freq"))
+    return numbered(names, [F.desc("freq"), F.asc("name")], reserved)
 
 
 def relation_vocab(edges: DataFrame, reserved: int = 3) -> DataFrame:
     """(name, freq, id) of relations and their inverses."""
     names = with_inverses(edges.select("h", "r", "t").distinct()).groupBy(F.col("r").alias("name")).agg(F.count("*").alias("freq"))
-    return _numbered(names, [F.desc("freq"), F.asc("name")], reserved)
+    return numbered(names, [F.desc("freq"), F.asc("name")], reserved)
 
 
 def lexical_vocab(edges: DataFrame) -> DataFrame:
-    return _numbered(entities(edges).select(F.col("e").alias("name")), [F.asc("name")], 0)
+    return numbered(entities(edges).select(F.col("e").alias("name")), [F.asc("name")], 0)
 
 
 def first_seen_vocab(edges: DataFrame, order: list[str]) -> DataFrame:
     """Ids by first appearance in the given order of edges, heads before tails."""
     place = edges.select(F.posexplode(F.array("h", "t")).alias("side", "name"), F.struct(*order).alias("at")).groupBy("name").agg(F.min(F.struct("at", "side")).alias("at"))
-    return _numbered(place, [F.asc("at"), F.asc("name")], 0).select("name", "id")
+    return numbered(place, [F.asc("at"), F.asc("name")], 0).select("name", "id")
 
 
 def type_histogram(edges: DataFrame) -> DataFrame:

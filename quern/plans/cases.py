@@ -79,8 +79,8 @@ class _Parts:
         return self.test.join(ranks, ["h", "r", "t"], "left")
 
 
-@query("r08_neighbours_of_all", f"with {_NEAR} select h, r, e, sim, place from near", typed=True)
-def r08_all(spark, d):
+@query("r08_neighbours", f"with {_NEAR} select h, r, e, sim, place from near", typed=True)
+def r08(spark, d):
     return _Parts(spark, d).near().select("h", "r", "e", F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
 
 

@@ -6,15 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quern.functions.tables import materialize
 from quern.operators.paths import order_by_md5
-from quern.operators.vocab import entities
+from quern.operators.vocab import entities, numbered
 
 
 def hubs(edges: DataFrame, share: float = 0.1) -> DataFrame:
-    """(e, n): the most used entities, a share of all of them, by uses and then name."""
-    use = edges.select(F.explode(F.array("h", "t")).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    k = int(use.count() * share)
-    return use.orderBy(F.desc("n"), "e").limit(k)
+    """(e, n): the most used entities, a share of all of them, by uses and then name.
+
+    A histogram of the uses tells which use is cut; only entities with just that use are sorted by name.
+    """
+    use = materialize(edges.select(F.explode(F.array("h", "t")).alias("e")).groupBy("e").agg(F.count("*").alias("n")), "uses")
+    many = use.groupBy("n").agg(F.count("*").alias("many"))  # a row for each number of uses; their sum is twice the edges, so they are few
+    total = F.sum("many").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    k = int((many.agg(F.sum("many")).first()[0] or 0) * share)
+    cut = many.withColumn("upto", total).filter(F.col("upto") >= k).orderBy(F.desc("n")).first()
+    if not k or cut is None:
+        return use.filter("false")
+    left = k - (cut.upto - cut.many)
+    ties = numbered(use.filter(F.col("n") == cut.n), [F.asc("e")]).filter(F.col("id") < left)
+    return use.filter(F.col("n") > cut.n).unionByName(ties.select("e", "n"))
 
 
 def _part(key: Column, parts: int) -> Column:
@@ -45,7 +56,7 @@ def coverage(stepped: DataFrame) -> DataFrame:
 
 def incremental_vocab(steps: DataFrame) -> DataFrame:
     """(e, step, id): ids are given in order of step and name, so earlier ones never change."""
-    return steps.withColumn("id", (F.row_number().over(Window.orderBy("step", "e")) - 1).cast("long"))
+    return numbered(steps, [F.asc("step"), F.asc("e")])
 
 
 def affected(paths: DataFrame, facts: DataFrame, new: DataFrame) -> DataFrame:
