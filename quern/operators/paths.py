@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.vocab import inverse
+from quern.operators.vocab import inverse, numbered
 
 
 def order_by_md5(*parts: Column | str, seed: str = "0") -> Column:
@@ -44,6 +44,14 @@ def sample_walks(starts: DataFrame, edges: DataFrame, walks: int = 10, hops: int
     return done.distinct()
 
 
+def walks_by_job(starts: DataFrame, edges: DataFrame, jobs: int, walks: int = 10, hops: int = 3, seed: str = "0") -> DataFrame:
+    """(job, start, program, end): walks of each start, which belongs to one of `jobs` ranges of equal size in the order of names; a job's walks don't depend on the others."""
+    ids = numbered(starts.select("e").distinct(), [F.asc("e")])
+    n = ids.count()
+    of = ids.select(F.col("e").alias("start"), F.floor(F.col("id") * jobs / max(n, 1)).cast("long").alias("job"))
+    return sample_walks(starts, edges, walks, hops, seed).join(of, "start").select("job", "start", "program", "end")
+
+
 def longest_paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(start, relations, nodes) of the paths of at most `hops` hops that can't be made longer without a revisit; arrays, without the start itself in nodes."""
     paths = enumerate_paths(starts, edges, hops).select("start", F.split("program", "/").alias("relations"), F.slice("nodes", 2, hops).alias("nodes"), "n")

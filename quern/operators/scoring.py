@@ -91,6 +91,11 @@ def shaped_reward(hit: Column, fact: Column, mu: float = 1.0, threshold: float =
     return hit + mu * (1 - hit) * F.when(fact < threshold, F.lit(0.0)).otherwise(fact)
 
 
+def oracle_reward(known: Column) -> Column:
+    """1 for every known answer, whether it is the question's or not."""
+    return F.when(known, 1).otherwise(0)
+
+
 def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, block: int = 1000) -> DataFrame:
     """(q, e, score, place): of each query (q, h, r), the k entities (e, t) that score highest, by score in six places and then e. score: a function of the arrays h, r, t.
 
@@ -123,3 +128,61 @@ def state_embedding(rows: DataFrame, kind: str = "average") -> DataFrame:
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", "q", "e").cast("binary")), 1, 12), 16, 10).cast("double") + 1) / (2**48 + 1)
     key = -F.col("score") if kind == "best" else -F.log(u) / F.col("score")
     return rows.withColumn("_k", key).groupBy("q").agg(F.min_by(F.struct("e", "v"), F.struct("_k", "e")).alias("b")).select("q", "b.e", "b.v")
+
+
+def stable_rewards(rollouts: DataFrame, by: str = "q", normal: bool = False, eps: float = 1e-10) -> DataFrame:
+    """Adds stable: reward less the mean of a query's rollouts, with `normal` divided by their sample deviation (plus eps)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by)
+    off = F.col("reward") - F.avg("reward").over(w)
+    return rollouts.withColumn("stable", off / (F.coalesce(F.stddev_samp("reward").over(w), F.lit(0.0)) + eps) if normal else off)
+
+
+def discounted(reward: Column, steps: int, gamma: float) -> Column:
+    """Array of what each step of a rollout returns, when only the last one is rewarded."""
+    return F.transform(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), lambda k: reward * F.pow(F.lit(gamma), k))
+
+
+def cross_entropy(p: Column, y: Column, eps: float = 1e-12) -> Column:
+    """Binary cross-entropy of a probability and a label, which may be smoothed."""
+    return -(y * F.log(F.greatest(p, F.lit(eps))) + (1 - y) * F.log(F.greatest(1 - p, F.lit(eps))))
+
+
+def policy_loss(returns: Column, log_p: Column, entropy_: Column, beta: float) -> Column:
+    """One rollout's policy-gradient loss: minus the sum of returns times log-probabilities (arrays), less beta times the mean entropy."""
+    return -dot(returns, log_p) - beta * entropy_
+
+
+def margin_loss(good: Column, bad: Column, margin: float) -> Column:
+    return F.greatest(F.lit(0.0), margin - good + bad)
+
+
+def masked_softmax(rows: DataFrame, by: str, value: str, allowed: str) -> DataFrame:
+    """Adds p, the softmax of value within by over the allowed rows; the others' is 0."""
+    return softmax(rows.withColumn("_v", F.when(F.col(allowed), F.col(value)).otherwise(F.col(value) - 1e31)), by, "_v").drop("_v")
+
+
+def train_distmult(triples: DataFrame, entities: DataFrame, relations: DataFrame, rate: float = 0.1, epochs: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Full-gradient steps of the logistic loss of DistMult: triples (h, r, t, y), entities (e, v) and relations (r, w) with arrays; the new entities and relations.
+
+    A step is two joins and a grouped sum for each table, so vectors stay distributed; gradients are summed over all triples in long form.
+    """
+    from quern.functions.tables import materialize
+
+    scale = lambda a, x: F.transform(a, lambda y: y * x)
+    mul = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+
+    def moved(table: DataFrame, key: str, vec: str, grad: DataFrame) -> DataFrame:
+        long = grad.select(key, F.posexplode("g").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+        total = long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("g"))
+        new = F.when(F.col("g").isNull(), F.col(vec)).otherwise(F.zip_with(vec, "g", lambda a, b: a - rate * b))
+        return table.join(total, key, "left").select(key, new.alias(vec))
+
+    for _ in range(epochs):
+        rows = triples.join(entities.select(F.col("e").alias("h"), F.col("v").alias("hv")), "h").join(entities.select(F.col("e").alias("t"), F.col("v").alias("tv")), "t").join(relations.select("r", F.col("w").alias("rv")), "r")
+        rows = materialize(rows.withColumn("d", sigmoid(dot(mul(F.col("hv"), F.col("rv")), F.col("tv"))) - F.col("y")), "gradients")
+        own = rows.select(F.col("h").alias("e"), scale(mul(F.col("rv"), F.col("tv")), F.col("d")).alias("g")).unionByName(rows.select(F.col("t").alias("e"), scale(mul(F.col("hv"), F.col("rv")), F.col("d")).alias("g")))
+        of_r = rows.select("r", scale(mul(F.col("hv"), F.col("tv")), F.col("d")).alias("g"))
+        entities, relations = materialize(moved(entities, "e", "v", own), "entities"), materialize(moved(relations, "r", "w", of_r), "relations")
+    return entities, relations

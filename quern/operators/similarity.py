@@ -42,3 +42,25 @@ def neighbours(queries: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     out = near.join(short, ["a", "r"]).filter("e != h")
     w = Window.partitionBy("h", "r").orderBy(F.round("sim", 9).desc(), "e")
     return out.withColumn("place", F.row_number().over(w)).filter(f"place <= {k}").select("h", "r", "e", "sim", "place")
+
+
+def naive_neighbours(queries: DataFrame, edges: DataFrame, k: int = 5, seed: str = "nn") -> DataFrame:
+    """(h, r, e, place) for each query (h, r): k entities that have the relation, without h itself, in an order of md5 that is the same for all queries of a relation."""
+    from quern.operators.paths import order_by_md5
+
+    having = edges.select("r", F.col("h").alias("e")).distinct()
+    first = having.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy(order_by_md5("r", "e", seed=seed)))).filter(F.col("i") <= k + 1)
+    out = queries.select("h", "r").distinct().join(F.broadcast(first), "r").filter("e != h")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("h", "r").orderBy("i")).cast("long")).filter(F.col("place") <= k).select("h", "r", "e", "place")
+
+
+def nearest_relations(edges: DataFrame, k: int = 3) -> DataFrame:
+    """(a, b, sim, place): of each relation the k others whose sets of heads are most like its own, by cosine."""
+    heads = edges.select("r", F.col("h").alias("e")).distinct()
+    size = heads.groupBy("r").agg(F.count("*").cast("double").alias("n"))
+    # heads with the same relations are counted together, so no head is expanded into pairs
+    own = heads.groupBy("e").agg(F.array_sort(F.collect_list("r")).alias("rs")).groupBy("rs").agg(F.count("*").alias("heads"))
+    pairs = own.select("heads", F.explode("rs").alias("a"), "rs").select("heads", "a", F.explode("rs").alias("b")).filter("a != b").groupBy("a", "b").agg(F.sum("heads").alias("both"))
+    sim = pairs.join(size.select(F.col("r").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("r").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("both") / F.sqrt(F.col("na") * F.col("nb"))).alias("sim"))
+    w = Window.partitionBy("a").orderBy(F.round("sim", 9).desc(), "b")
+    return sim.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)

@@ -77,6 +77,17 @@ def type_histogram(edges: DataFrame) -> DataFrame:
     return entities(edges).groupBy(F.regexp_replace("e", "[0-9]+", "").alias("etype")).agg(F.count("*").alias("n"))
 
 
+def type_by_token(name: str, token: int, sep: str = "_", other: str = "none") -> Column:
+    """The given token of a name, from 1; names without one are of the type `other`."""
+    return F.coalesce(F.nullif(F.get(F.split(name, sep), F.lit(token - 1)), F.lit("")), F.lit(other))
+
+
+def index_lines(names: DataFrame, reserved: list[str]) -> DataFrame:
+    """(id, line): a vocabulary's lines of name, tab and frequency; reserved names, of frequency -1, have the first ids."""
+    first = names.sparkSession.createDataFrame([(k, f"{x}\t-1") for k, x in enumerate(reserved)], "id long, line string")
+    return first.unionByName(names.select("id", F.concat_ws("\t", "name", F.col("freq").cast("string")).alias("line")))
+
+
 def encode(edges: DataFrame, names: DataFrame, relations: DataFrame) -> DataFrame:
     """Names to ids; edges with an unknown name go. The relation table is small and is broadcast by the planner where it fits."""
     e = names.select("name", "id")

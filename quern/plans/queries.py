@@ -528,15 +528,6 @@ def e13(spark, d):
     return values.select("vec_id", F.col("k").cast("long").alias("k"), F.round("value", 6).alias("value"))
 
 
-@query("e12_softmax_entropy", "with s as (select h, count(*)::double as w from edges where r = 'placed' group by h, t), k as (select substr(h, 1, 2) as b, ln(1 + row_number() over (partition by substr(h, 1, 2) order by h)) as v from (select distinct h from edges where r = 'placed')), p as (select b, exp(v) / sum(exp(v)) over (partition by b) as p from k) select b, round(sum(-p * ln(p + 1e-20::double)), 6) as entropy from p group by b")
-def e12(spark, d):
-    from pyspark.sql import Window
-
-    heads = graph(spark, d).filter("r = 'placed'").select("h").distinct().withColumn("b", F.substring("h", 1, 2))
-    rows = heads.withColumn("v", F.log(1 + F.row_number().over(Window.partitionBy("b").orderBy("h")).cast("double")))
-    return sc.entropy(sc.softmax(rows, "b", "v"), "b").withColumn("entropy", F.round("entropy", 6))
-
-
 @query("m08_mean_average_precision", "with x as (select regexp_extract(d.source, '[0-9]+') as q, doc_id as e, n_chars::double as score, quality as label from documents d join labels using (doc_id)), w as (select q, label, sum(label) over o / count(*) over o as p from x window o as (partition by q order by score desc, e rows unbounded preceding)) select q, round(sum(case when label = 1 then p else 0 end) / sum(label), 6) as ap from w group by q having sum(label) > 0")
 def m08(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "n_chars")
@@ -544,12 +535,6 @@ def m08(spark, d):
     return rk.average_precision(rows).withColumn("ap", F.round("ap", 6))
 
 
-@query("g17_shaped_reward", "select vec_id, round(case when label = 0 then 1.0::double else 0 end + (1 - case when label = 0 then 1.0::double else 0 end) * case when embedding[1]::double < 0 then 0 else embedding[1]::double end, 6) as reward from embeddings")
-def g17(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select("vec_id", F.round(sc.shaped_reward((F.col("label") == 0).cast("double"), F.col("embedding")[0].cast("double")), 6).alias("reward"))
-
-
 @query("g24_label_smoothing", "select vec_id, round(0.9::double * (case when label = 0 then 1 else 0 end) + 1.0::double / 500, 6) as a, round(0.9::double * (case when label = 0 then 1 else 0 end) + 0.1::double / 500, 6) as b from embeddings")
 def g24(spark, d):
     y = (F.col("label") == 0).cast("double")
