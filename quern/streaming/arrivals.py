@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.tables import materialize
 from quern.operators.paths import order_by_md5
-from quern.operators.vocab import entities, numbered
+from quern.operators.vocab import entities, inverse, numbered
 
 
 def hubs(edges: DataFrame, share: float = 0.1) -> DataFrame:
@@ -59,13 +61,44 @@ def incremental_vocab(steps: DataFrame) -> DataFrame:
     return numbered(steps, [F.asc("step"), F.asc("e")])
 
 
+def incremental_relations(stepped: DataFrame) -> DataFrame:
+    """(name, step, id): relations in the order of the step that has them first and of name; a relation and its inverse get ids together, so earlier ones never change."""
+    first = stepped.groupBy("r").agg(F.min("step").cast("long").alias("step"))
+    ids = numbered(first, [F.asc("step"), F.asc("r")])
+    both = F.array(F.struct(F.col("r").alias("name"), (F.col("id") * 2).alias("id")), F.struct(inverse("r").alias("name"), (F.col("id") * 2 + 1).alias("id")))
+    return ids.select("step", F.explode(both).alias("x")).select("x.name", "step", "x.id")
+
+
 def affected(paths: DataFrame, facts: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities on paths (start, program, end, nodes) of new entities (e) up to an end that answers a fact of a visited entity by another relation."""
+    """Entities on the paths (start, program, end, nodes, n) of new entities (e) up to where they reach an answer of the start, but not by the fact's own edge; new ones are left out."""
     mine = paths.join(new.select(F.col("e").alias("start")), "start", "left_semi")
-    hit = mine.join(facts.select(F.col("h").alias("fh"), F.col("r").alias("fr"), F.col("t").alias("end")), "end").filter(F.array_contains("nodes", F.col("fh")) & (F.col("fh") != F.col("end")))
+    hit = mine.join(facts.select(F.col("h").alias("start"), F.col("r").alias("asked"), F.col("t").alias("end")), ["start", "end"])
+    # no path comes back to its start, so the fact's own edge can only be a path of one hop
+    hit = hit.filter((F.col("n") > 1) | (F.col("program") != F.col("asked")))
     return hit.select(F.explode("nodes").alias("e")).distinct().join(new.select("e"), "e", "left_anti")
 
 
+def seed_size(total: int, share: float) -> int:
+    return int(total * share)
+
+
+def arrivals(edges: DataFrame, steps: int, share: float = 0.5, hub_share: float = 0.1, seed: str = "42") -> DataFrame:
+    """(e, step): hubs and then others, in the order of md5, up to a share of all entities come at step 0; of the rest equally many, rounded up, at each of `steps` steps, what is left at the last."""
+    seeds = materialize(hubs(edges, hub_share).select("e"), "hubs")
+    rest = numbered(entities(edges).join(seeds, "e", "left_anti"), [order_by_md5("e", seed=seed).asc(), F.asc("e")])
+    first = seeds.count()
+    total = first + rest.count()
+    left, size = max(0, seed_size(total, share) - first), max(1, math.ceil((1 - share) * total / steps))
+    later = F.least(F.floor((F.col("id") - left) / size) + 1, F.lit(steps))
+    return seeds.select("e", F.lit(0).cast("long").alias("step")).unionByName(rest.select("e", F.when(F.col("id") < left, F.lit(0)).otherwise(later).cast("long").alias("step")))
+
+
+def entity_coverage(steps: DataFrame) -> DataFrame:
+    """(step, new_entities, all_entities, share): entities that came with each step and so far, and the share of all."""
+    n = steps.groupBy("step").agg(F.count("*").alias("new_entities")).withColumn("all_entities", F.sum("new_entities").over(Window.orderBy("step")))
+    return n.withColumn("share", F.col("all_entities") / F.sum("new_entities").over(Window.partitionBy()))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new, and those of old whose key isn't among them."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
