@@ -97,7 +97,7 @@ def oracle_reward(known: Column) -> Column:
 
 
 def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, block: int = 1000) -> DataFrame:
-    """(q, e, score, place): of each query (q, h, r), the k entities (e, t) that score highest, by score in six places and then e. score: a function of the arrays h, r, t.
+    """(q, e, score, place): of each query (q, h, r), the k entities (e, t) that score highest, by score in nine places and then e. score: a function of the arrays h, r, t.
 
     Queries are dealt to blocks of about `block`, which are broadcast one after the other; each is a pass over the entities, which stay where they are. Every task sends on
     no more than k rows of a query.
@@ -105,7 +105,7 @@ def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, bloc
     from pyspark.sql import Window
 
     blocks, out = max(1, -(-queries.count() // block)), None
-    best = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "e")
+    best = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "e")
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else queries
         rows = entities.join(F.broadcast(part)).select("q", "e", score(F.col("h"), F.col("r"), F.col("t")).alias("score"))

@@ -508,7 +508,7 @@ def _scored(name: str, expr: Callable, oracle: str) -> None:
 
     QUERIES[name] = run
     ORACLES[name] = f"""with v as (select vec_id, embedding::double[] as v from embeddings), p as (select a.vec_id as q, b.vec_id as e, a.v as h, [x * 0.5::double for x in a.v] as r, b.v as t from v a cross join v b where a.vec_id % 100 = 0),
-        s as (select q, e, round({oracle}, 6) as score from p) select q, e, score, place from (select *, row_number() over (partition by q order by score desc, e) as place from s) where place <= 10"""
+        s as (select q, e, {oracle} as score from p) select q, e, round(score, 6) as score, place from (select *, row_number() over (partition by q order by round(score, 9) desc, e) as place from s) where place <= 10"""
 
 
 _D = "range(1, 65)"
