@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.tables import materialize
 from quern.operators.similarity import groups, signatures
 
-#: Distinct signatures that are clustered on the driver (a matrix of their distances); they number far fewer than entities.
-MOST = 4000
+#: Distinct signatures that are clustered on the driver (a matrix of their distances); more are clustered in rounds of joins.
+MOST = 2000
 
 
 def average_linkage(vectors: np.ndarray, weights: np.ndarray, cut: float) -> np.ndarray:
@@ -21,7 +22,7 @@ def average_linkage(vectors: np.ndarray, weights: np.ndarray, cut: float) -> np.
     label = np.arange(n)
     alive = np.ones(n, bool)
     while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
+        i, j = np.unravel_index(np.argmin(np.round(d, 9)), d.shape)
         if d[i, j] > cut:
             break
         i, j = min(i, j), max(i, j)
@@ -35,12 +36,37 @@ def average_linkage(vectors: np.ndarray, weights: np.ndarray, cut: float) -> np.
     return label
 
 
+def merged_in_rounds(sizes: DataFrame, cut: float) -> DataFrame:
+    """(sig, c) for signatures (sig, n: how many entities): the same clustering, of any number of signatures, for a cut below 1.
+
+    Average linkage of unit vectors is the product of two clusters' sums over the product of their sizes, so a cluster is a sparse sum. Each
+    round merges all pairs that are nearest to each other: merging one doesn't bring another nearer, hence the order of merges doesn't matter.
+    """
+    long = sizes.select("sig", "n", F.explode(F.split("sig", ",")).alias("r"), (F.col("n") / F.sqrt(F.size(F.split("sig", ",")).cast("double"))).alias("s"))
+    sums, size = materialize(long.select(F.col("sig").alias("c"), "r", "s"), "sums"), materialize(sizes.select(F.col("sig").alias("c"), F.col("n").cast("double").alias("n")), "sizes")
+    label = materialize(sizes.select("sig", F.col("sig").alias("c")), "labels")
+    while True:
+        a, b = sums.select(F.col("c").alias("a"), "r", F.col("s").alias("x")), sums.select(F.col("c").alias("b"), "r", F.col("s").alias("y"))
+        dots = a.join(b, "r").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+        far = dots.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = far.select("a", "b", F.round(1 - F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("d")).filter(F.col("d") <= cut)
+        each = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("best"))
+        mutual = materialize(each.groupBy("best.a", "best.b").agg(F.count("*").alias("n")).filter("n = 2").select("a", "b"), "mutual")
+        if mutual.isEmpty():
+            return label
+        to = lambda df: df.join(mutual.select(F.col("b").alias("c"), F.col("a").alias("into")), "c", "left").withColumn("c", F.coalesce("into", "c")).drop("into")
+        sums = materialize(to(sums).groupBy("c", "r").agg(F.sum("s").alias("s")), "sums")
+        size = materialize(to(size).groupBy("c").agg(F.sum("n").alias("n")), "sizes")
+        label = materialize(to(label).select("sig", "c"), "labels")
+
+
 def clusters(edges: DataFrame, cut: float = 0.7) -> DataFrame:
     """(e, c): average-linkage clusters of entities by signature; c is the cluster's first signature in order of text."""
-    of, _ = groups(signatures(edges))
-    rows = of.groupBy("sig").agg(F.count("*").alias("n")).orderBy("sig").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} distinct signatures")
+    of = materialize(groups(signatures(edges))[0], "signatures")
+    sizes = materialize(of.groupBy("sig").agg(F.count("*").alias("n")), "sizes")
+    if sizes.count() > MOST:
+        return of.join(merged_in_rounds(sizes, cut), "sig").select("e", "c")
+    rows = sizes.orderBy("sig").collect()
     relations = sorted({r for row in rows for r in row.sig.split(",")})
     at = {r: k for k, r in enumerate(relations)}
     x = np.zeros((len(rows), len(relations)))
