@@ -56,3 +56,8 @@ def test_reports(spark):
     assert tuple(evaluate.seed_study(spark.createDataFrame([(1.0,), (3.0,)], "mrr double"), ["mrr"]).first()) == (2.0, 1.0)
     p = spark.createDataFrame([(["a", "b", "c"], "r/s_inv")], "nodes array<string>, program string")
     assert p.select(evaluate.printed_path()).first()[0] == "a -r-> b <-s- c"
+
+
+def test_leaderboard(spark):
+    rows = spark.createDataFrame([("a", 1, 0.2), ("b", 2, 0.9), ("c", 3, 0.2)], "name string, size int, mrr double")
+    assert [r.name for r in evaluate.leaderboard(rows).collect()] == ["b", "a", "c"]
