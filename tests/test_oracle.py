@@ -4,11 +4,12 @@ import os
 
 import pytest
 
-from quern.plans.queries import ORACLES, QUERIES
+from quern.plans.registry import ORACLES, QUERIES
 
 DATA = os.environ.get("QUERN_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem documents embeddings labels".split()
-NAMES = ["a01_out_degrees", "a03_answer_ratio", "a08_prior", "a09_precision", "g03_pruned_actions", "g05_sampled_walks", "g11_beam_search", "j10_fallback", "m08_mean_average_precision", "m10_metrics_by_relation", "r08_neighbours", "t04_incremental_vocab", "v03_frequency_vocab"]
+TABLES += "events pages benchmark conversations".split()
+NAMES = sorted(ORACLES)
 
 
 def plain(x):
@@ -22,12 +23,15 @@ def duck():
         pytest.skip("no test tables")
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+        if os.path.exists(f"{DATA}/{t}.parquet"):
+            c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    # what SQL can't express is tested against plain versions elsewhere
+    assert {n for n in QUERIES if n not in ORACLES} == {"a21_cluster_sizes", "g15_average_linkage_clusters", "j04_leak_free_whole"}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -36,6 +40,7 @@ def test_same_rows(spark, duck, name):
     columns = sorted(df.columns)
     relation = duck.sql(ORACLES[name])
     assert sorted(relation.columns) == columns
+    assert not any("DECIMAL" in str(t) or "HUGEINT" in str(t) for t in relation.types)
     key = lambda r: [(x is None, str(x)) for x in r]
     ours = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=key)
     theirs = sorted((tuple(plain(r[relation.columns.index(c)]) for c in columns) for r in relation.fetchall()), key=key)
