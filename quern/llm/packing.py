@@ -163,11 +163,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class _Nth:
+    """For lengths as they come in a task: how many of each it had before."""
+
+    def __init__(self):
+        self.seen: dict[int, int] = defaultdict(int)
+
+    def of(self, length: np.ndarray) -> np.ndarray:
+        order = np.argsort(length, kind="stable")
+        distinct, first, n = np.unique(length[order], return_index=True, return_counts=True)
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - np.repeat(first - np.array([self.seen[x] for x in distinct.tolist()], np.int64), n)
+        for x, k in zip(distinct.tolist(), n.tolist(), strict=True):
+            self.seen[x] += k
+        return nth
+
+
 def pieces(docs: DataFrame, size: int, path: str, end_id: int) -> DataFrame:
-    """A row per piece: the text's ids and end_id, cut every `size` tokens."""
+    """A row per piece: the text's ids and end_id, cut every `size` tokens; with the task that made it (part) and how many of its length that had before (nth)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e, nth, part = encoder(path), _Nth(), TaskContext.get().partitionId()
         for batch in batches:
             at = 0
             for _, _, data, off in tx.chunks(batch.column(1)):
@@ -175,13 +191,14 @@ def pieces(docs: DataFrame, size: int, path: str, end_id: int) -> DataFrame:
                 for ids in e.encode(data, off):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), size)):
-                        part = ids[start : start + size]
-                        for x, v in zip(out, (at, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        piece = ids[start : start + size]
+                        for x, v in zip(out, (at, k, start, len(piece), zlib.crc32(piece.tobytes())), strict=True):
                             x.append(v)
                     at += 1
-                yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                many = [pa.array(np.full(len(out[0]), part)), pa.array(nth.of(np.array(out[3], np.int64)))]
+                yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:]), *many], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")
 
 
 def plan(counts: dict[int, int], size: int, max_docs: int, max_attention: int, weights: tuple[float, float, float], select: str) -> np.ndarray:
@@ -260,17 +277,9 @@ def _numbered(parts: DataFrame) -> DataFrame:
     rows = parts.select(F.struct(*(parts[c] for c in parts.columns)).alias("row"), parts["length"].cast("long").alias("length"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
+        nth, part = _Nth(), TaskContext.get().partitionId()
         for batch in batches:
-            length = batch.column(1).to_numpy()
-            order = np.argsort(length, kind="stable")
-            distinct, first, n = np.unique(length[order], return_index=True, return_counts=True)
-            nth = np.empty(len(length), np.int64)
-            nth[order] = np.arange(len(length)) - np.repeat(first - np.array([seen[x] for x in distinct.tolist()], np.int64), n)
-            for x, k in zip(distinct.tolist(), n.tolist(), strict=True):
-                seen[x] += k
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part)), pa.array(nth)], ["row", "length", "part", "nth"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part)), pa.array(nth.of(batch.column(1).to_numpy()))], ["row", "length", "part", "nth"])
 
     return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("nth", T.LongType())]))
 
@@ -311,16 +320,20 @@ def pack(parts: DataFrame, size: int = 4096, max_docs: int | None = None, max_at
 
     Pieces are numbered by length and the task that reads them, so there is no sort of a frequent length's rows, only of its tasks.
     """
-    spark = parts.sparkSession
     keep = [c for c in parts.columns if c not in ("sequence_id", "offset")]
-    table = materialize(_numbered(parts.select(*keep)), "pieces")
+    return _packed(_numbered(parts.select(*keep)), size, max_docs, max_attention, weights, select)
+
+
+def _packed(numbered: DataFrame, size: int, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, select: str = "norm") -> DataFrame:
+    spark = numbered.sparkSession
+    table = materialize(numbered, "pieces")
     cells = materialize(table.groupBy("length", "part").agg(F.count("*").alias("rows")), "cells")
     counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("rows")).collect()}  # at most `size` rows
     attention = max_attention or size * size
     steps = plan(counts, size, max_docs, attention, weights, select) if max_docs else tightest(counts, size, attention, weights, select)[0]
     key = spark.sparkContext.broadcast(((steps[:, 0] << 44) | steps[:, 1], steps))
     before = cells.select("length", "part", (F.sum("rows").over(Window.partitionBy("length").orderBy("part")) - F.col("rows")).alias("before"))
-    ranked = table.join(before, ["length", "part"]).select("row", "length", (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = table.join(before.hint("shuffle_merge"), ["length", "part"]).select("row", "length", (F.col("nth") + F.col("before")).alias("rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -339,7 +352,9 @@ def best_fit_pack(docs: DataFrame, size: int = 4096, path: str | None = None, en
     A null or empty text is the end id alone, a null doc_id stays null. Texts of any length are encoded whole; those longer than `size` tokens are cut every `size`.
     Repeated rows are packed each. No rows: no rows.
     """
-    return pack(pieces(docs, size, path or tokenizer_path(), end_id), size, **options)
+    made = pieces(docs, size, path or tokenizer_path(), end_id)
+    row = F.struct(*(c for c in made.columns if c not in ("part", "nth"))).alias("row")
+    return _packed(made.select(row, "length", "part", "nth"), size, **options)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
