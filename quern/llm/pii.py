@@ -7,7 +7,6 @@ kind's last match has ended, so each kind gives its leftmost non-overlapping mat
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -128,7 +127,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Adds pii, array of (start, end, kind), and redacted, the text with them replaced. Null or empty text: no spans, and the text as it is.
 
-    Other columns stay; ones named pii or redacted are replaced. Whole texts are searched, each row by itself.
+    Other columns stay; ones named pii or redacted are replaced. Whole texts are searched, however long, each row by itself; repeated rows get equal results, no rows give no rows.
     """
     keep = [c for c in docs.columns if c not in ("pii", "redacted")]
     place = keep.index("text")
@@ -173,7 +172,3 @@ def brute_force(text: str) -> str:
             out.append((m.start(), m.end(), "card"))
     out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
     return joined(sorted(out, key=lambda s: (s[0], KINDS.index(s[2]))))
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
