@@ -162,11 +162,6 @@ def j04(spark, d):
     return _leak_free(spark, d).groupBy("q", "h").agg(F.count("*").alias("n"), F.min(to).alias("first"), F.max(to).alias("last"))
 
 
-@query("j04_leak_free_whole")
-def j04_whole(spark, d):
-    return _leak_free(spark, d)
-
-
 @query("j07_neighbours_with_relation", "select distinct h as e from train where r = 'region_of' and h in (select h from train where r = 'placed')")
 def j07(spark, d):
     g = part(spark, d)
