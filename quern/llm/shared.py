@@ -2,56 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_PATH = "_quern_path"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset and everything runs in one process (tests), a folder of our own; on a cluster that is an error."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm  # noqa: SLF001
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at  # noqa: SLF001
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it: cuts the lineage, survives lost executors.
-
-    All tables of an application are in one folder, which goes when its driver ends; release() deletes one earlier.
-    """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
-    path = f"{top}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, at = _files(spark, top)
-    files.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    setattr(out, _PATH, path)
-    return out
-
+from quern.functions.tables import materialize, release, shared_dir
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() wrote; nothing may read them, or what was derived of them and isn't written, afterwards."""
-    for t in tables:
-        if path := getattr(t, _PATH, None):
-            files, at = _files(t.sparkSession, path)
-            files.delete(at, True)
+__all__ = ["documents", "materialize", "release", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
