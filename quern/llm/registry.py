@@ -10,6 +10,7 @@ from quern.llm.ngram_join import op1_ngram_jaccard_join
 from quern.llm.packing import op2_best_fit_packing
 from quern.llm.pii import op4_pii
 from quern.llm.quality import op5_quality
+from quern.llm.resample import op11_importance_resampling
 from quern.llm.secrets import op10_secrets
 from quern.llm.toxicity import op3_toxicity
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
