@@ -8,6 +8,7 @@ from quern.llm.fingerprint import op9_fingerprints
 from quern.llm.lm import op7_lm_score
 from quern.llm.ngram_join import op1_ngram_jaccard_join
 from quern.llm.packing import op2_best_fit_packing
+from quern.llm.pattern_packing import op12_pattern_packing
 from quern.llm.pii import op4_pii
 from quern.llm.quality import op5_quality
 from quern.llm.resample import op11_importance_resampling
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_pattern_packing": op12_pattern_packing,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
