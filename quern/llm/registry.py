@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import url_filter
+from quern.llm import delta_lloyd, url_filter
 from quern.llm.decontaminate import op8_decontamination
 from quern.llm.fingerprint import op9_fingerprints
 from quern.llm.lm import op7_lm_score
@@ -28,5 +28,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_pattern_packing": op12_pattern_packing,
+    "op13_centroid_clustering": delta_lloyd.op13_centroid_clustering,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL, "op13_centroid_clustering": delta_lloyd.SQL}
