@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quern.plans import cases, files, more, queries, stream  # noqa: F401
+from quern.plans import cases, files, learned, more, queries, stream  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
