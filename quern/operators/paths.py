@@ -1,11 +1,20 @@
-"""Paths, programs (relation sequences), their prior and precision, and answering by them."""
+"""Paths, programs (relation sequences), their prior and precision, and answering by them.
+
+A program is the text of its relations joined by slashes; a slash (or percent sign) in a relation's name is percent-coded there, see step_name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.vocab import inverse, numbered
+from quern.functions.tables import materialize, release
+from quern.operators.vocab import coded, inverse, numbered
+
+
+def step_name(r: Column | str) -> Column:
+    """A relation as a program has it; also the program of that relation alone."""
+    return coded(r, "/")
 
 
 def order_by_md5(*parts: Column | str, seed: str = "0") -> Column:
@@ -14,10 +23,10 @@ def order_by_md5(*parts: Column | str, seed: str = "0") -> Column:
 
 
 def enumerate_paths(starts: DataFrame, edges: DataFrame, hops: int = 2, revisit: bool = False) -> DataFrame:
-    """(start, program, end, nodes, n) of all paths of 1 to `hops` hops from starts (e). A join per hop."""
+    """(start, program, end, nodes, n) of all paths of 1 to `hops` hops from starts (e). A join per hop, a row per path: for counts of programs see found_programs."""
     now = starts.select(F.col("e").alias("start"), F.lit("").alias("program"), F.col("e").alias("end"), F.array("e").alias("nodes"), F.lit(0).alias("n"))
     out = None
-    step = edges.select(F.col("h").alias("end"), "r", "t")
+    step = edges.select(F.col("h").alias("end"), step_name("r").alias("r"), "t")
     for k in range(hops):
         now = now.join(step, "end")
         if not revisit:
@@ -38,7 +47,7 @@ def sample_walks(starts: DataFrame, edges: DataFrame, walks: int = 10, hops: int
     for k in range(hops):
         rows = now.join(step, "end").filter(~F.array_contains("nodes", F.col("t")))
         best = Window.partitionBy("start", "walk").orderBy(order_by_md5("walk", F.lit(str(k)), "end", "r", "t", seed=seed))
-        now = rows.withColumn("k", F.row_number().over(best)).filter("k = 1").select("start", "walk", F.concat_ws("/", F.when(F.col("program") != "", F.col("program")), "r").alias("program"), F.col("t").alias("end"), F.array_append("nodes", F.col("t")).alias("nodes"))
+        now = rows.withColumn("k", F.row_number().over(best)).filter("k = 1").select("start", "walk", F.concat_ws("/", F.when(F.col("program") != "", F.col("program")), step_name("r")).alias("program"), F.col("t").alias("end"), F.array_append("nodes", F.col("t")).alias("nodes"))
         part = now.select("start", "program", "end")
         done = part if done is None else done.unionByName(part)
     return done.distinct()
@@ -53,7 +62,7 @@ def walks_by_job(starts: DataFrame, edges: DataFrame, jobs: int, walks: int = 10
 
 
 def longest_paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(start, relations, nodes) of the paths of at most `hops` hops that can't be made longer without a revisit; arrays, without the start itself in nodes."""
+    """(start, relations, nodes) of the paths of at most `hops` hops that can't be made longer without a revisit; arrays, of step names and without the start itself in nodes."""
     paths = enumerate_paths(starts, edges, hops).select("start", F.split("program", "/").alias("relations"), F.slice("nodes", 2, hops).alias("nodes"), "n")
     inner = paths.filter(F.col("n") > 1).select("start", F.slice("relations", 1, F.col("n") - 1).alias("relations"), F.slice("nodes", 1, F.col("n") - 1).alias("nodes")).distinct()
     return paths.join(inner, ["start", "relations", "nodes"], "left_anti").select("start", "relations", "nodes")
@@ -67,20 +76,61 @@ def prefix_programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     at = paths.select("start", "relations", "nodes", F.posexplode("nodes").alias("k", "t"))
     cut = at.select("start", "t", F.slice("relations", 1, F.col("k") + 1).alias("relations"), F.slice("nodes", 1, F.col("k") + 1).alias("nodes")).distinct()
     hit = cut.join(facts.select(F.col("h").alias("start"), "r", "t"), ["start", "t"]).withColumn("program", F.array_join("relations", "/"))
-    return hit.filter("program != r").groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
+    return hit.filter(F.col("program") != step_name("r")).groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
 
 
 def walk_probabilities(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """(h, t, program, p): walks of two hops between the ends of facts, each hop with equal probability among an entity's edges."""
     share = edges.withColumn("p", 1 / F.count("*").over(Window.partitionBy("h")).cast("double"))
     a, b = share.select("h", F.col("r").alias("r1"), F.col("t").alias("mid"), F.col("p").alias("p1")), share.select(F.col("h").alias("mid"), F.col("r").alias("r2"), "t", F.col("p").alias("p2"))
-    return a.join(b, "mid").join(facts.select("h", "t"), ["h", "t"]).select("h", "t", F.concat_ws("/", "r1", "r2").alias("program"), (F.col("p1") * F.col("p2")).alias("p"))
+    return a.join(b, "mid").join(facts.select("h", "t"), ["h", "t"]).select("h", "t", F.concat_ws("/", step_name("r1"), step_name("r2")).alias("program"), (F.col("p1") * F.col("p2")).alias("p"))
 
 
 def programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     """(h, r, program, n): of each fact h -r-> t, programs of paths from h that end in t, with how many do; the program that is the fact's own relation is left out."""
     hit = paths.join(facts.select(F.col("h").alias("start"), "r", F.col("t").alias("end")), ["start", "end"])
-    return hit.filter(F.col("program") != F.col("r")).groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
+    return hit.filter(F.col("program") != step_name("r")).groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
+
+
+def found_programs(edges: DataFrame, facts: DataFrame, hops: int = 2) -> DataFrame:
+    """(h, r, program, n): what programs() gives for all paths of at most `hops` (1 to 3) hops without revisits between the facts' ends, counted without a row for a path.
+
+    Paths meet in the middle: halves of one and two hops are counted by their ends, and a fact of three hops joins the two-hop half of its head with the edges into its tail, from the end that has fewer of them.
+    Such a walk revisits only where its second entity is the tail itself; those are counted by the tail's two-hop cycles and taken off. A fact with equal ends has no path.
+    """
+    if not 1 <= hops <= 3:
+        raise ValueError("one to three hops; enumerate_paths takes more")
+    e = edges.filter("h != t").groupBy("h", step_name("r").alias("r"), "t").agg(F.count("*").alias("n"))
+    if hops > 1:
+        e = materialize(e, "edges")
+    asked = facts.select("h", "r", "t").filter("h != t")
+    pairs = asked.select("h", "t").distinct()
+    out = e.join(pairs, ["h", "t"]).select("h", "t", F.col("r").alias("program"), "n")
+    mine: list[DataFrame] = []
+    if hops > 1:
+        a, b = e.select("h", F.col("r").alias("r1"), F.col("t").alias("mid"), F.col("n").alias("n1")), e.select(F.col("h").alias("mid"), F.col("r").alias("r2"), F.col("t").alias("e"), F.col("n").alias("n2"))
+        two = materialize(a.join(pairs.select("h").distinct(), "h", "left_semi").join(b, "mid").filter("h != e").groupBy("h", "e", F.concat_ws("/", "r1", "r2").alias("program")).agg(F.sum(F.col("n1") * F.col("n2")).alias("n")), "halves")
+        mine = [e, two]
+        out = out.unionByName(two.join(pairs.select("h", F.col("t").alias("e")), ["h", "e"]).select("h", F.col("e").alias("t"), "program", "n"))
+    if hops > 2:
+        last = e.select(F.col("h").alias("e"), F.col("r").alias("r3"), "t", F.col("n").alias("n3"))
+        into, half = last.groupBy("t").agg(F.count("*").alias("_in")), two.groupBy("h").agg(F.count("*").alias("_out"))
+        sized = materialize(pairs.join(into, "t").join(half, "h"), "ends")
+        back = sized.filter("_in <= _out").select("h", "t").join(last, "t").filter("e != h").join(two, ["h", "e"])
+        ahead = sized.filter("_in > _out").select("h", "t").join(two, "h").join(last, ["e", "t"])
+        columns = ["h", "t", F.concat_ws("/", "program", "r3").alias("program"), (F.col("n") * F.col("n3")).alias("n")]
+        walks = back.select(*columns).unionByName(ahead.select(*columns))
+        cycle = b.join(last.select("e", F.col("t").alias("mid"), "r3", "n3"), ["e", "mid"]).select(F.col("mid").alias("t"), "e", F.concat_ws("/", "r2", "r3").alias("rest"), (F.col("n2") * F.col("n3")).alias("m"))
+        first = e.join(pairs, ["h", "t"])
+        through = ["h", "t", F.concat_ws("/", "r", "rest").alias("program")]
+        off = first.join(cycle.groupBy("t", "rest").agg(F.sum("m").alias("m")), "t").select(*through, (-F.col("n") * F.col("m")).alias("n"))
+        own = first.join(cycle.withColumnRenamed("e", "h"), ["t", "h"]).select(*through, (F.col("n") * F.col("m")).alias("n"))
+        three = walks.unionByName(off).unionByName(own).groupBy("h", "t", "program").agg(F.sum("n").alias("n")).filter("n > 0")
+        out, mine = out.unionByName(three), [*mine, sized]
+    hit = out.join(asked, ["h", "t"]).filter(F.col("program") != step_name("r"))
+    found = materialize(hit.groupBy("h", "r", "program").agg(F.sum("n").alias("n")), "found")
+    release(*mine)
+    return found
 
 
 def prior(found: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
@@ -103,16 +153,16 @@ def walk(starts: DataFrame, edges: DataFrame, branch: int | None = None, hidden:
     successors of an entity and relation, those of smallest md5. hidden: facts (h, r, t) that walks of the query (h, r) must not use, nor
     their inverses. hops: those of the longest program, else counted in the rows.
     """
-    steps = edges.select(F.col("h").alias("end"), F.col("r").alias("step"), "t")
+    steps = edges.select(F.col("h").alias("end"), F.col("r").alias("name"), step_name("r").alias("step"), "t")
     if branch:
-        steps = steps.withColumn("k", F.row_number().over(Window.partitionBy("end", "step").orderBy(order_by_md5("end", "step", "t")))).filter(f"k <= {branch}").drop("k")
+        steps = steps.withColumn("k", F.row_number().over(Window.partitionBy("end", "name").orderBy(order_by_md5("end", "name", "t")))).filter(f"k <= {branch}").drop("k")
     now = starts.select("h", "r", "program", F.split("program", "/").alias("steps"), F.col("h").alias("end"), F.lit(1).cast("long").alias("n"))
     longest = _longest(starts) if hops is None else hops
     done = now.filter("false").select("h", "r", "program", "end", "n")
     for k in range(longest):
         rows = now.withColumn("step", F.get("steps", F.lit(k))).join(steps, ["end", "step"])
         if hidden is not None:
-            ahead, back = (F.col("end") == F.col("h")) & (F.col("step") == F.col("r")), (F.col("t") == F.col("h")) & (F.col("step") == inverse("r"))
+            ahead, back = (F.col("end") == F.col("h")) & (F.col("name") == F.col("r")), (F.col("t") == F.col("h")) & (F.col("name") == inverse("r"))
             rows = rows.withColumn("own", F.when(ahead, F.col("t")).when(back, F.col("end")))
             rows = rows.join(hidden.select("h", "r", F.col("t").alias("own")).distinct(), ["h", "r", "own"], "left_anti")
         now = rows.groupBy("h", "r", "program", "steps", F.col("t").alias("end")).agg(F.sum("n").alias("n"))

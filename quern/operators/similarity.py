@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.vocab import coded, plain
+
 
 def signatures(edges: DataFrame) -> DataFrame:
     """(e, r, w): the relations that leave an entity, each weighing 1 / sqrt(their number), so that a signature has length 1."""
@@ -13,9 +15,9 @@ def signatures(edges: DataFrame) -> DataFrame:
 
 
 def groups(signature: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities with equal signatures together: (e, sig) and the distinct signatures in long form (sig, r, w). There are far fewer of them."""
-    text = signature.groupBy("e").agg(F.array_join(F.array_sort(F.collect_list("r")), ",").alias("sig"))
-    long = text.select("sig").distinct().select("sig", F.explode(F.split("sig", ",")).alias("r"))
+    """Entities with equal signatures together: (e, sig), the relations joined by commas (a comma in a name is percent-coded), and the distinct signatures in long form (sig, r, w). There are far fewer of them."""
+    text = signature.groupBy("e").agg(F.array_join(F.array_sort(F.collect_list(coded("r", ","))), ",").alias("sig"))
+    long = text.select("sig").distinct().select("sig", F.explode(F.transform(F.split("sig", ","), lambda r: plain(r, ","))).alias("r"))
     return text, long.withColumn("w", 1 / F.sqrt(F.count("*").over(Window.partitionBy("sig")).cast("double")))
 
 

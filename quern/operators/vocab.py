@@ -16,6 +16,22 @@ def inverse(r: Column | str, suffix: str = INVERSE) -> Column:
     return F.when(r.endswith(suffix), F.substring(r, F.lit(1), F.length(r) - len(suffix))).otherwise(F.concat(r, F.lit(suffix)))
 
 
+def coded(name: Column | str, mark: str) -> Column:
+    """A name in which `mark`, and the percent sign, are percent-coded, so that names joined by that mark can be told apart; other names stay as they are."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+
+
+def plain(name: Column, mark: str) -> Column:
+    """The name that coded() was given."""
+    return F.replace(F.replace(name, F.lit(f"%{ord(mark):02X}"), F.lit(mark)), F.lit("%25"), F.lit("%"))
+
+
+def key(*columns: str) -> Column:
+    """Names joined by bars, as one text that no other names give."""
+    return F.concat_ws("|", *(coded(c, "|") for c in columns))
+
+
 def is_inverse(r: Column | str, suffix: str = INVERSE) -> Column:
     return (F.col(r) if isinstance(r, str) else r).endswith(suffix)
 

@@ -291,7 +291,7 @@ _FOUND = f"""{_PATHS}, found as (select p.start as h, train.r, program, count(*)
 
 
 def _found(g: DataFrame) -> DataFrame:
-    return materialize(pt.programs(pt.enumerate_paths(g.select(F.col("h").alias("e")).distinct(), g), g), "found")
+    return pt.found_programs(g, g)
 
 
 @query("g07_programs", f"with {_FOUND} select * from found", typed=True)
@@ -299,6 +299,20 @@ def g07(spark, d):
     return _found(part(spark, d, typed=True))
 
 
+#: Relations whose inverses the three-hop query also walks: those that lead to nations and regions, so that every entity there leads back.
+_PLACES = ("in_nation", "based_in", "in_region", "region_of")
+
+
+@query("g07_three_hop_programs", f"""with g as (select h, r, t from train union all select t, r || '_inv', h from train where r in {_PLACES}), f as (select h, r, t from g), pairs as (select distinct h, t from g),
+    p1 as (select h, t, r as program, 1 as n from g), p2 as (select a.h, b.t, a.r || '/' || b.r as program, count(*) as n from g a join g b on b.h = a.t where b.t != a.h group by 1, 2, 3),
+    p3 as (select a.h, c.t, a.r || '/' || b.r || '/' || c.r as program, count(*) as n from g a join g b on b.h = a.t and b.t != a.h join g c on c.h = b.t and c.t not in (a.h, a.t) join pairs on pairs.h = a.h and pairs.t = c.t group by 1, 2, 3)
+    select f.h, f.r, program, cast(sum(n) as bigint) as n from (select * from p1 union all select * from p2 union all select * from p3) p join f on f.h = p.h and f.t = p.t where program != f.r group by 1, 2, 3""")
+def g07_three(spark, d):
+    g = part(spark, d)
+    g = g.unionByName(vo.with_inverses(g.filter(F.col("r").isin(*_PLACES))).filter(vo.is_inverse("r")))
+    return pt.found_programs(g, g, 3)
+
+
 _PRIOR = "prior as (select r, program, sum(n) / sum(sum(n)) over (partition by r) as prior from found group by r, program)"
 
 

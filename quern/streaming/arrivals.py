@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.tables import materialize
-from quern.operators.paths import order_by_md5
+from quern.operators.paths import order_by_md5, step_name
 from quern.operators.vocab import entities, inverse, numbered
 
 
@@ -74,7 +74,7 @@ def affected(paths: DataFrame, facts: DataFrame, new: DataFrame) -> DataFrame:
     mine = paths.join(new.select(F.col("e").alias("start")), "start", "left_semi")
     hit = mine.join(facts.select(F.col("h").alias("start"), F.col("r").alias("asked"), F.col("t").alias("end")), ["start", "end"])
     # no path comes back to its start, so the fact's own edge can only be a path of one hop
-    hit = hit.filter((F.col("n") > 1) | (F.col("program") != F.col("asked")))
+    hit = hit.filter((F.col("n") > 1) | (F.col("program") != step_name("asked")))
     return hit.select(F.explode("nodes").alias("e")).distinct().join(new.select("e"), "e", "left_anti")
 
 
