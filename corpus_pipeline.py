@@ -11,7 +11,7 @@ from quern.llm.decontaminate import matched
 from quern.llm.ngram_join import jaccard_join, with_own_ids
 from quern.llm.packing import best_fit_pack
 from quern.llm.pii import personal_data
-from quern.llm.shared import documents, materialize, release
+from quern.llm.shared import documents, materialize, release, small_batches
 from quern.llm.toxicity import fit, score
 
 #: A document is rejected from this score on.
@@ -31,6 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts are scored, each row by itself, whatever its id. Null and empty texts, and those without words, score 0 and stay, as do repeated rows. No rows
     give no rows. All columns stay, also ones named score or sentences.
     """
+    small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     whole, text = _fresh(docs, "whole"), F.col("text")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias(whole), text) if len(docs.columns) > 1 else docs.select(F.lit(0).alias(whole), text)
@@ -45,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text isn't lost because another has its id. Documents without words (null or empty texts, too) are linked with nothing and stay. Texts of
     any length count whole. No rows give no rows. All columns stay.
     """
+    small_batches(spark)
     own, gone = _fresh(docs, "own_id"), _fresh(docs, "gone_id")
     rows, _ = with_own_ids(docs, own)
     members = jaccard_join(rows.select(F.col(own).alias("doc_id"), "text"), n=5, percent=80, own=True)[0]
@@ -58,6 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Whole texts are searched, each row by itself, whatever its id, so rows without one or with a repeated one are judged, too. Null and empty texts match nothing
     and stay. No rows or no items: all rows. All columns stay.
     """
+    small_batches(spark)
     found = _fresh(docs, "found")
     rows = matched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found)
     return rows.filter(F.size(found) == 0).select(*docs.columns)
@@ -69,6 +72,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts are searched, each row by itself. Null and empty texts, and those without personal data, stay as they are; no rows give no rows. All columns
     stay, also ones named pii or redacted.
     """
+    small_batches(spark)
     whole, text = _fresh(docs, "whole"), F.col("redacted")
     rest = [c for c in docs.columns if c != "text"]
     out = personal_data(docs.select(F.struct(*(docs[c] for c in rest)).alias(whole), "text") if rest else docs)
@@ -84,6 +88,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts are encoded. A null or empty text is one piece of the end token; a null doc_id stays null; repeated rows are packed each. No rows give
     no rows. Of the columns, doc_id stays.
     """
+    small_batches(spark)
     return best_fit_pack(docs)
 
 
