@@ -37,11 +37,14 @@ def average_linkage(vectors: np.ndarray, weights: np.ndarray, cut: float) -> np.
 
 
 def merged_in_rounds(sizes: DataFrame, cut: float) -> DataFrame:
-    """(sig, c) for signatures (sig, n: how many entities): the same clustering, of any number of signatures, for a cut below 1.
+    """(sig, c) for signatures (sig, n: how many entities): the same clustering, of any number of signatures.
 
     Average linkage of unit vectors is the product of two clusters' sums over the product of their sizes, so a cluster is a sparse sum. Each
     round merges all pairs that are nearest to each other: merging one doesn't bring another nearer, hence the order of merges doesn't matter.
+    No distance is above 1, that of clusters without a common relation, so a cut of 1 or more leaves one cluster.
     """
+    if cut >= 1:
+        return sizes.select("sig").crossJoin(F.broadcast(sizes.agg(F.min("sig").alias("c"))))
     long = sizes.select("sig", "n", F.explode(F.split("sig", ",")).alias("r"), (F.col("n") / F.sqrt(F.size(F.split("sig", ",")).cast("double"))).alias("s"))
     sums, size = materialize(long.select(F.col("sig").alias("c"), "r", "s"), "sums"), materialize(sizes.select(F.col("sig").alias("c"), F.col("n").cast("double").alias("n")), "sizes")
     label = materialize(sizes.select("sig", F.col("sig").alias("c")), "labels")

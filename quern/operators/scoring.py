@@ -104,12 +104,16 @@ def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, bloc
     """
     from pyspark.sql import Window
 
+    from quern.functions.tables import materialize
+
     blocks, out = max(1, -(-queries.count() // block)), None
     best = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "e")
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else queries
         rows = entities.join(F.broadcast(part)).select("q", "e", score(F.col("h"), F.col("r"), F.col("t")).alias("score"))
         top = rows.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= k)
+        if blocks > 1:  # its broadcast goes before the next one comes
+            top = materialize(top, "block")
         out = top if out is None else out.unionByName(top)
     return out
 

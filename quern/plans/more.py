@@ -149,6 +149,45 @@ def g22(spark, d):
     return ng.negative_entities(part(spark, d, "test"), _vocabularies(spark, d)[0], 6)
 
 
+#: A draw's id among those that aren't known: its place and the known ones that have at most so many unknown ids before them.
+_UNKNOWN = """sides as (select side, h, r, t, case when side = 'tail' then h when side = 'head' then t else h end as a, case when side = 'relation' then t else r end as b, case when side = 'tail' then t when side = 'head' then h else r end as name from edges cross join (values ('head'), ('tail'), ('relation')) x(side)),
+    have as (select sides.side, a, b, coalesce(case when side = 'relation' then rel.id end, ent.id) as id from sides left join ent on ent.name = sides.name and side != 'relation' left join rel on rel.name = sides.name and side = 'relation'),
+    levels as (select *, id - (row_number() over (partition by side, a, b order by id) - 1) as j from have), many as (select side, a, b, count(*) as k from have group by 1, 2, 3),
+    keyed as (select h, r, t, side, case when side = 'tail' then h when side = 'head' then t else h end as a, case when side = 'relation' then t else r end as b from sided),
+    free as (select keyed.*, case when side = 'relation' then (select count(*) from rel) else (select count(*) from ent) end - coalesce(k, 0) as f from keyed left join many using (side, a, b)),
+    drawn as (select *, """ + _draw("f", _FACT, "neg") + """ as j from free where f > 0),
+    got as (select d.h, d.r, d.t, d.side, d.j + count(l.id) as id from drawn d left join levels l on l.side = d.side and l.a = d.a and l.b = d.b and l.j <= d.j group by d.h, d.r, d.t, d.side, d.j)
+    select h, r, t, side, case when side = 'head' then ent.name else h end as ch, case when side = 'relation' then rel.name else r end as cr, case when side = 'tail' then ent.name else t end as ct from got left join ent on ent.id = got.id and side != 'relation' left join rel on rel.id = got.id and side = 'relation'"""
+
+
+@query("g20_exact_sides", f"with {_NAMES}, sided as (select h, r, t, case when {_draw('2', _FACT, 'side')} = 0 then 'head' else 'tail' end as side from train), {_UNKNOWN}")
+def g20_exact(spark, d):
+    return ng.corrupted_exactly(ng.heads_or_tails(part(spark, d)), *_vocabularies(spark, d), graph(spark, d))
+
+
+@query("g21_exact_batches", f"with {_NAMES}, b as (select *, {_draw('64', _FACT, 'batch')} as b from train), p as (select *, {_draw('100', 'b', 'batch-side')} as p from b), sided as (select h, r, t, case when p < 25 then 'head' when p < 50 then 'tail' else 'relation' end as side from p), {_UNKNOWN}")
+def g21_exact(spark, d):
+    return ng.corrupted_exactly(ng.batch_sides(part(spark, d), 64), *_vocabularies(spark, d), graph(spark, d))
+
+
+def _floyd(most: int) -> str:
+    """SQL of the places, one draw after the other; what a query doesn't need is null."""
+    out = ["f0 as (select h, r, free, many, []::bigint[] as done from own)"]
+    for k in range(most):
+        i = f"(free - many + {k})"
+        pick = _draw(f"({i} + 1)", f"h || '|' || r || '|' || {i}", "ent")
+        out.append(f"f{k + 1} as (select h, r, free, many, case when {k} >= many then done when list_contains(done, {pick}) then list_append(done, {i}) else list_append(done, {pick}) end as done from f{k})")
+    return ", ".join(out)
+
+
+@query("g22_exact_negatives", f"""with {_NAMES}, own as (select h, r, (select count(*) from ent) - count(*) as free, least(6 - count(*), (select count(*) from ent) - count(*)) as many from test group by 1, 2 having count(*) < 6), {_floyd(6)},
+    levels as (select h, r, id - (row_number() over (partition by h, r order by id) - 1) as j from (select test.h, test.r, ent.id from test join ent on ent.name = test.t)), d as (select h, r, unnest(done) as j from f6),
+    got as (select d.h, d.r, d.j, d.j + count(l.j) as id from d left join levels l on l.h = d.h and l.r = d.r and l.j <= d.j group by 1, 2, 3)
+    select h, r, t as e, 1 as positive from test union all select h, r, name, 0 from got join ent using (id)""")
+def g22_exact(spark, d):
+    return ng.negative_entities_exactly(part(spark, d, "test"), _vocabularies(spark, d)[0], 6)
+
+
 # mined facts over the embeddings: relations are the labels, vectors of their first member; the facts known are each vector's with the next one
 
 _THETA = 0.5
