@@ -92,14 +92,20 @@ def programs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     return hit.filter(F.col("program") != step_name("r")).groupBy(F.col("start").alias("h"), "r", "program").agg(F.count("*").alias("n"))
 
 
-def found_programs(edges: DataFrame, facts: DataFrame, hops: int = 2) -> DataFrame:
+def found_programs(edges: DataFrame, facts: DataFrame, hops: int = 2, near: bool = False) -> DataFrame:
     """(h, r, program, n): what programs() gives for all paths of at most `hops` (1 to 3) hops without revisits between the facts' ends, counted without a row for a path.
 
     Paths meet in the middle: halves of one and two hops are counted by their ends, and a fact of three hops joins the two-hop half of its head with the edges into its tail, from the end that has fewer of them.
     Such a walk revisits only where its second entity is the tail itself; those are counted by the tail's two-hop cycles and taken off. A fact with equal ends has no path.
+    near: the facts have few heads, so edges are first cut to those within reach of them.
     """
     if not 1 <= hops <= 3:
         raise ValueError("one to three hops; enumerate_paths takes more")
+    if near:
+        reach = facts.select("h").distinct()
+        for _ in range(hops - 1):
+            reach = materialize(reach.union(edges.join(reach, "h", "left_semi").select(F.col("t").alias("h"))).distinct(), "reach")
+        edges = edges.join(reach, "h", "left_semi")
     e = edges.filter("h != t").groupBy("h", step_name("r").alias("r"), "t").agg(F.count("*").alias("n"))
     if hops > 1:
         e = materialize(e, "edges")
