@@ -118,6 +118,53 @@ def best_tails(queries: DataFrame, entities: DataFrame, score, k: int = 10, bloc
     return out
 
 
+def best_by_products(queries: DataFrame, entities: DataFrame, k: int = 10, block: int = 1000, bias: bool = False) -> DataFrame:
+    """(q, e, score, place): of each query (q, vec: array), the k entities (e: long, v: array, with `bias` b) with the largest dot product, plus b, by score in nine places and then e.
+
+    Queries come in blocks, one after the other, each broadcast; a batch of entities is one matrix product with a block, and a task keeps each query's k best so far. So it sends no more than k rows a query, whatever it has read.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from quern.functions.tables import materialize
+
+    spark, kind = queries.sparkSession, dict(queries.dtypes)["q"]
+    blocks, out = max(1, -(-queries.count() // block)), None
+    vectors = entities.select(F.col("e").cast("long").alias("e"), F.col("v").cast("array<double>").alias("v"), (F.col("b").cast("double") if bias else F.lit(0.0)).alias("b"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "e")
+    for n in range(blocks):
+        part = (queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n) if blocks > 1 else queries).select("q", F.col("vec").cast("array<double>").alias("vec")).toArrow()
+        if not part.num_rows:
+            continue
+        asked = part.column("vec").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+        shared = spark.sparkContext.broadcast((part.column("q").combine_chunks(), asked))
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, asked = shared.value
+            top = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                e, b = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for at in range(0, len(v), 2048):
+                    s = np.concatenate([top[0], np.round(asked @ v[at : at + 2048].T + b[None, at : at + 2048], 9) + 0.0], 1)
+                    ids = np.concatenate([top[1], np.broadcast_to(e[at : at + 2048], (len(asked), len(v[at : at + 2048])))], 1)
+                    order = np.lexsort((ids, -s), axis=1)[:, :k]
+                    top = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+            width = top[0].shape[1]
+            if width:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(asked)), width))), pa.array(top[1].ravel()), pa.array(top[0].ravel())], ["q", "e", "score"])
+
+        found = vectors.mapInArrow(rows, f"q {kind}, e long, score double").withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= k)
+        if blocks > 1:
+            found = materialize(found, "block")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"q {kind}, e long, score double, place long")
+
+
 def relation_weights(paths: DataFrame) -> DataFrame:
     """(h, t, r, weight): for each pair, by relation the sum of the probabilities of its paths (h, t, relations, p) that have it, once for each time they do."""
     return paths.select("h", "t", F.explode("relations").alias("r"), "p").groupBy("h", "t", "r").agg(F.sum("p").alias("weight"))

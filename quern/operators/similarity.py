@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.tables import materialize
 from quern.operators.vocab import coded, plain
 
 
@@ -27,20 +28,65 @@ def cosine(long: DataFrame, key: str = "sig") -> DataFrame:
     return x.join(y, "r").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
+#: Similarities at which the nearest are looked for, one after the other; those who have enough neighbours at one don't go on to the next.
+LEVELS = (1.0, 0.85, 0.7, 0.5, 0.0)
+
+
+def indexed(long: DataFrame) -> DataFrame:
+    """(sig, rs, n) of distinct signatures in long form (sig, r): the relations of each, those of the fewest signatures first, and how many they are."""
+    rare = long.groupBy("r").agg(F.count("*").alias("_f"))
+    own = long.join(rare, "r").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("_f", "r"))).alias("_x"))
+    return own.select("sig", F.transform("_x", lambda x: x["r"]).alias("rs"), F.size("_x").alias("n"))
+
+
+def candidates(some: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb): pairs of a signature of `some` and one of all (see indexed) that can have a cosine of `least` or more.
+
+    Of sets of n and m relations with such a cosine, each has at least least * least of the other's size, so of each all but ceil(least * least * n) - 1 of its relations, the rarest, must hold a common one. Only those are joined.
+    """
+    few = lambda n: F.ceil(F.lit(least * least - 1e-9) * n) if least > 0 else F.lit(1)
+    first = lambda df, c: df.select(F.col("sig").alias(c), F.col("rs").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.posexplode(F.slice("rs", 1, (F.col("n") - F.greatest(few(F.col("n")), F.lit(1)) + 1).cast("int"))).alias(f"p{c}", "r"))
+    x, y = first(some, "a"), first(every, "b")
+    rows = x.join(y, "r").filter((F.col("nb") >= F.col("na") * (least * least - 1e-9)) & (F.col("na") >= F.col("nb") * (least * least - 1e-9)))
+    # from their rarest common relation on, the two must have enough relations left
+    rows = rows.filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (least - 1e-9) * F.sqrt((F.col("na") * F.col("nb")).cast("double")))
+    # a pair is kept at that one only; both arrays are in the same order
+    return rows.filter(F.array_intersect("ra", "rb")[0] == F.col("r")).select("a", "b", "ra", "rb")
+
+
+def similar(some: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim): signatures of `some` and of all (see indexed) with a cosine of `least` or more; for 0, all that share a relation."""
+    if least >= 1:
+        return some.select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.lit(1.0).alias("sim"))
+    pairs = candidates(some, every, least)
+    return pairs.select("a", "b", (F.size(F.array_intersect("ra", "rb")) / F.sqrt((F.size("ra") * F.size("rb")).cast("double"))).alias("sim")).filter(F.col("sim") >= least - 1e-9)
+
+
 def neighbours(queries: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """(h, r, e, sim, place) for each query (h, r): the k entities most like h that have relation r, without h itself.
 
-    Signatures are compared once per distinct pair. Of each signature and relation at most k + 1 entities, those first by name, can be
-    among the nearest, so a common signature doesn't multiply the rows.
+    Signatures are compared once per distinct pair, and only as far as needed: first with equal ones, then with those above a falling bound, until a query's signature has enough entities above it. Of each signature and
+    relation at most k + 1 entities, those first by name, can be among the nearest, so a common signature doesn't multiply the rows.
     """
     of, long = groups(signatures(edges))
-    sim = cosine(long)
+    of = materialize(of, "signatures")
+    every = materialize(indexed(long), "indexed")
     having = edges.select(F.col("h").alias("e"), "r").distinct().join(of, "e")
-    first = having.withColumn("i", F.row_number().over(Window.partitionBy("sig", "r").orderBy("e"))).filter(f"i <= {k + 1}").select("r", "e", F.col("sig").alias("b"))
+    first = materialize(having.withColumn("i", F.row_number().over(Window.partitionBy("sig", "r").orderBy("e"))).filter(f"i <= {k + 1}").select("r", "e", F.col("sig").alias("b")), "first")
     near = queries.select("h", "r").distinct().join(of.withColumnRenamed("e", "h").withColumnRenamed("sig", "a"), "h")
-    rows = near.select("a", "r").distinct().join(sim, "a").join(first, ["b", "r"])
+    left = materialize(near.select("a", "r").distinct(), "asked")
     w = Window.partitionBy("a", "r").orderBy(F.round("sim", 9).desc(), "e")
-    short = rows.withColumn("i", F.row_number().over(w)).filter(f"i <= {k + 1}").select("a", "r", "e", "sim")
+    short = None
+    for least in LEVELS:
+        some = every.join(left.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi")
+        rows = left.join(similar(some, every, least), "a").join(first, ["b", "r"])
+        rows = materialize(rows.withColumn("i", F.row_number().over(w)).filter(f"i <= {k + 1}").select("a", "r", "e", "sim"), "near")
+        enough = rows.groupBy("a", "r").agg(F.count("*").alias("_n")).filter((F.col("_n") > k) | F.lit(least <= 0))
+        part = rows.join(enough.select("a", "r"), ["a", "r"], "left_semi")
+        short = part if short is None else short.unionByName(part)
+        left = materialize(left.join(enough, ["a", "r"], "left_anti"), "asked")
+        if left.isEmpty():
+            break
     out = near.join(short, ["a", "r"]).filter("e != h")
     w = Window.partitionBy("h", "r").orderBy(F.round("sim", 9).desc(), "e")
     return out.withColumn("place", F.row_number().over(w)).filter(f"place <= {k}").select("h", "r", "e", "sim", "place")

@@ -93,3 +93,20 @@ def test_any_cut_gives_the_same_clusters_on_either_way(spark, monkeypatch, cut):
     assert {(r.e, r.c) for r in cl.clusters(g, cut).collect()} == once
     if cut >= 1:
         assert len({c for _, c in once}) == 1
+
+
+def test_best_by_products_equals_sorting_all(spark):
+    rng = np.random.default_rng(6)
+    v, q = np.round(rng.normal(size=(300, 3)), 1), np.round(rng.normal(size=(17, 3)), 1)
+    v[50:80] = v[20]  # ties
+    b = np.round(rng.normal(size=300), 1)
+    e = spark.createDataFrame([(i, v[i].tolist(), float(b[i])) for i in range(300)], "e long, v array<double>, b double").repartition(7)
+    asked = spark.createDataFrame([(f"q{i}", q[i].tolist()) for i in range(17)], "q string, vec array<double>")
+    for bias in (False, True):
+        s = np.round(q @ v.T + (b if bias else 0), 9)
+        want = sorted((f"q{i}", j, pytest.approx(s[i, j]), n + 1) for i in range(17) for n, j in enumerate(sorted(range(300), key=lambda j: (-s[i, j], j))[:12]))
+        for block in (1000, 5):
+            got = sc.best_by_products(asked, e, 12, block, bias)
+            assert sorted(map(tuple, got.collect())) == want
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    assert sc.best_by_products(asked.filter("false"), e).collect() == [] and sc.best_by_products(asked, e.filter("false")).collect() == []
