@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import text as tx
-from quern.llm.shared import documents
+from quern.llm.shared import documents, materialize
 from quern.llm.toxicity import _APART
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -239,11 +239,18 @@ def _search(docs: DataFrame, keep: list[str], into: str, items: Items, n: int, l
     return docs.select(*sent).mapInArrow(rows, schema)
 
 
-def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
-    """The items in blocks of about `most` bytes of text, read one after the other."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // most))
+def _texts(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _count(benchmark: DataFrame, most: int) -> int:
+    """How many blocks of about `most` bytes of text the items are dealt to."""
+    return max(1, -(-(_texts(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most))
+
+
+def _blocks(benchmark: DataFrame, n: int, blocks: int) -> Iterator[Items]:
+    """The items in so many blocks, read one after the other."""
+    rows = _texts(benchmark)
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
         yield _items(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), n)
@@ -255,23 +262,41 @@ def matched(docs: DataFrame, benchmark: DataFrame, into: str = "matches", n: int
     It is an array of item_id, similarity, start and end; a column of its name is replaced. similarity is the alignment's score divided by that of the
     item with itself; start and end are code points in the document; of one item the best passage counts. A seed is any n-gram of an item. A passage
     needs `least` seeds (or all of a short item's). Items of fewer than n words and null or empty texts match nothing; texts of any length are searched
-    whole. Rows are judged each, by their text alone, whatever their ids; repeated items match each; no rows give no rows. Rows pass through once for every `block` bytes of items.
+    whole. Rows are judged each, by their text alone, whatever their ids; repeated items match each; no rows give no rows. Rows pass through once for every `block` bytes of items; with more
+    than one block they are numbered and written once, each block's matches are written before the next one is broadcast, and what matched is joined by number.
     """
     keep = [c for c in docs.columns if c != into]
-    out, parts = docs, []
-    for k, items in enumerate(_blocks(benchmark, n, block)):
-        parts.append(f"{into}_{k}")
-        while parts[-1] in docs.columns:
-            parts[-1] += "_"
-        out = _search(out, [*keep, *parts[:-1]], parts[-1], items, n, least, similarity)
-    return out.select(*keep, F.concat(*parts).alias(into))
+    blocks = _count(benchmark, block)
+    if blocks == 1:
+        return _search(docs, keep, into, next(_blocks(benchmark, n, 1)), n, least, similarity)
+    uid, part, found = (_free(docs, into, c) for c in ("uid", "block", "found"))
+    rows = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for k, items in enumerate(_blocks(benchmark, n, blocks)):
+        one = materialize(_search(rows.select(uid, "text"), [uid], found, items, n, least, similarity).filter(F.size(found) > 0).withColumn(part, F.lit(k)), "matches")
+        hits = one if hits is None else hits.unionByName(one)
+    every = hits.groupBy(uid).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(part, found))), lambda x: x[found])).alias(found))
+    return rows.join(every, uid, "left").select(*keep, F.coalesce(found, F.array().cast(every.schema[found].dataType)).alias(into))
+
+
+def _free(docs: DataFrame, into: str, name: str) -> str:
+    """A name that neither a column of docs nor `into` has."""
+    while name.lower() in (c.lower() for c in [*docs.columns, into]):
+        name += "_"
+    return name
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: int = 2, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, item_id, similarity, start, end) of the matches that matched() finds; a row for each of a document's rows and items."""
+    """Rows (doc_id, item_id, similarity, start, end) of the matches that matched() finds; a row for each of a document's rows and items.
+
+    A null doc_id stays null; rows that share one have rows each; null and empty texts, and no rows or items, give none; other columns are ignored. Of several blocks of items each one's rows are written before the next is broadcast.
+    """
     rows, out = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for items in _blocks(benchmark, n, block):
+    blocks = _count(benchmark, block)
+    for items in _blocks(benchmark, n, blocks):
         part = _search(rows, ["doc_id"], "found", items, n, least, similarity).select("doc_id", F.explode("found").alias("f"))
+        if blocks > 1:
+            part = materialize(part, "matches")
         out = part if out is None else out.unionByName(part)
     return out.select("doc_id", "f.*")
 
