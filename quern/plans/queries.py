@@ -250,6 +250,20 @@ def g01(spark, d):
     return gr.adjacency(part(spark, d)).select("h", F.array_join(F.transform("actions", lambda a: F.concat_ws(":", a["r"], a["t"])), ",").alias("actions"))
 
 
+#: Items of a row in the queries of adjacency and answers in parts; low, so that many groups have several.
+_MOST = 8
+
+
+@query("g01_adjacency_parts", f"select h, part, string_agg(r || ':' || t, ',' order by r, t) as actions from (select h, r, t, (row_number() over (partition by h order by r, t) - 1) // {_MOST} as part from train) group by h, part")
+def g01_parts(spark, d):
+    return gr.in_parts(part(spark, d), ["h"], ["r", "t"], _MOST).select("h", "part", F.array_join(F.transform("items", lambda a: F.concat_ws(":", a["r"], a["t"])), ",").alias("actions"))
+
+
+@query("s01_answer_parts", f"select h, r, part, string_agg(t, ',' order by t) as answers from (select h, r, t, (row_number() over (partition by h, r order by t) - 1) // {_MOST} as part from edges) group by h, r, part")
+def s01_parts(spark, d):
+    return gr.in_parts(graph(spark, d), ["h", "r"], ["t"], _MOST).select("h", "r", "part", F.array_join(F.transform("items", lambda a: a["t"]), ",").alias("answers"))
+
+
 _PRUNED = """with s as (select t as e, count(*)::double as score from train group by t),
     k as (select train.h, train.r, train.t, count(*) over (partition by h) as n, row_number() over (partition by h order by coalesce(score, 0) desc, r, t) as place from train left join s on s.e = train.t),
     kept as (select h, r, t from k where n + 1 < 10 or place <= 10), c as (select h, count(*) + 1 as n_actions from kept group by h)
