@@ -30,11 +30,13 @@ def graph(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
         edge(orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey")), _name("c", "o_custkey"), "bought", _name("p", "l_partkey")),
         edge(lineitem, _name("s", "l_suppkey"), "supplies", _name("p", "l_partkey")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for k, p in enumerate(parts):
+        # relations have names of their own, and only orders' lines can repeat an edge: those three are made distinct, the others are keyed by their table
+        p = p.distinct() if k in (5, 6, 7) else p
+        out = p if out is None else out.unionByName(p)
     digit = F.substring(F.md5(F.concat_ws("|", "h", "r", "t").cast("binary")), 1, 1)
-    return out.distinct().withColumn("split", F.when(digit.isin(*TEST), "test").when(digit.isin(*VALID), "valid").otherwise("train"))
+    return out.withColumn("split", F.when(digit.isin(*TEST), "test").when(digit.isin(*VALID), "valid").otherwise("train"))
 
 
 def sql(typed: bool = False) -> str:
