@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.tables import kept, materialize
+from quern.functions.tables import kept
 from quern.operators import evaluate as ev
 from quern.operators import graph as gr
 from quern.operators import paths as pt
