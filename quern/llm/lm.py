@@ -3,7 +3,9 @@
 A text's probability sums over all its segmentations into pieces of an existing vocabulary, by forward recursion in
 log space. Pieces don't cross words, so the lattice of a text is its words' lattices one behind the other, and each distinct
 word is summed once. Half of a piece's weight comes from the vocabulary's own scores, half from how often the
-vocabulary's segmentation of the training texts has it.
+vocabulary's segmentation of the training texts has it. With `words`, every training word is a piece of its own as well: an edge over the whole
+word, whose weight is its count less a discount; what the discounts leave is shared by the segmentations into the vocabulary's pieces, whose
+weights are then shares among those that a word can begin or go on with.
 
 Counts are exact and cover the whole corpus. Those of the most frequent words (a bounded number) are broadcast; other
 words are joined by hash, a row for each document that has one. Texts are never shuffled.
@@ -66,6 +68,7 @@ class Pieces:
         keys = _spans(flat, ends - [len(p) for p in raw], ends)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(raw.values()))[order]
+        self.begins = np.array([p[0] == _MARK for p in raw])[order]
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -74,6 +77,11 @@ class Pieces:
         p = SCORES * self.prior + (1 - SCORES) * counts / counts.sum() if counts.any() else self.prior
         return np.log(np.maximum(p, 1e-12))[self.ids]
 
+    def placed(self, counts: np.ndarray) -> np.ndarray:
+        """The same among the pieces of a place, as a word begins with a piece that has the sign and goes on with others: counts and, of one for each piece, the share by its own score."""
+        p = np.maximum(counts + len(self.prior) * self.prior, 1e-12)[self.ids]
+        return np.log(p / np.where(self.begins, p[self.begins].sum(), p[~self.begins].sum()))
+
 
 @cache
 def pieces(path: str) -> Pieces:
@@ -209,12 +217,17 @@ def _frequent(totals: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return word[order], table.column("total").to_numpy()[order]
 
 
-def score(docs: DataFrame, train, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+def _discount(once: int, twice: int) -> float:
+    """What each training word's count is lowered by, from how many words occur once and twice (the estimate of Ney, Essen and Kneser)."""
+    return min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.1
+
+
+def score(docs: DataFrame, train, path: str | None = None, frequent: int = FREQUENT, words: bool = False) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text; others are ignored).
 
     train is a boolean column: the texts to learn from. Scores are log10 probabilities of whole texts, however long; a null or empty text is its end alone.
-    score: a text ends with the share of the training tokens that are ends (plus one of two), else a word follows, of the lattice's probability. A
-    null doc_id counts as not for training if `train` is null for it. No training texts: counts are 0, and scores come from the
+    score: a text ends with the share of the training tokens that are ends (plus one of two), else a word follows, of the lattice's probability. words: the lattice also has each
+    training word as one piece, however rare. A null doc_id counts as not for training if `train` is null for it. No training texts: counts are 0, and scores come from the
     vocabulary. Repeated rows are scored and counted each; no rows give no rows. Words are known by 64-bit hashes. At most `frequent` words' counts are broadcast.
     """
     path = path or vocabulary_path()
@@ -228,52 +241,64 @@ def score(docs: DataFrame, train, path: str | None = None, frequent: int = FREQU
     totals = materialize(counted.filter("not piece").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("total")), "totals")
     release(counted)
     end = int(END.view(np.int64))
-    n, distinct, ends = (int(x) for x in totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("total"))), F.lit(0))).first())
+    times = lambda k: F.count_if((F.col("word") != end) & (F.col("total") == k))
+    n, distinct, ends, once, twice = (int(x) for x in totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("total"))), F.lit(0)), times(1), times(2)).first())
     scale = np.log10(n + 0.1 * (distinct + 1))
     stop = (ends + 1) / (n + 2)
-    shared = spark.sparkContext.broadcast((v.weights(counts), *_frequent(totals, frequent)))
+    whole = words and n > ends
+    less, many_words = _discount(once, twice), max(n - ends, 1)
+    spell = np.log(less * (distinct - int(ends > 0)) / many_words) if whole else 0.0  # the share that is left to the vocabulary's pieces
+    shared = spark.sparkContext.broadcast((v.placed(counts) if words else v.weights(counts), *_frequent(totals, frequent)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known, total = shared.value
         lattice = _Marginals(pieces(path), weights)
         row = TaskContext.get().partitionId() << 33
-        pair = pa.struct([("word", pa.int64()), ("k", pa.int64())])
+        pair = pa.struct([("word", pa.int64()), ("k", pa.int64()), ("p", pa.float64())])
         for batch in batches:
             at = 0
             for lo, hi, data, off in tx.chunks(batch.column(1)):
                 m = hi - lo
                 w = tx.Words(data, off)
-                words, where, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+                found, where, back = np.unique(w.hashes, return_index=True, return_inverse=True)
                 raw = _LOWER[data].tobytes()
-                log_p = lattice.of(words, lambda i, raw=raw, w=w, where=where: raw[w.starts[where[i]] : w.ends[where[i]]])
-                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                often = known[place] == words if len(known) else np.zeros(len(words), bool)
+                log_p = lattice.of(found, lambda i, raw=raw, w=w, where=where: raw[w.starts[where[i]] : w.ends[where[i]]])
+                place = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+                often = known[place] == found if len(known) else np.zeros(len(found), bool)
+                if whole:
+                    log_p += spell
+                    log_p[often] = np.logaddexp(log_p[often], np.log((total[place[often]] - less) / many_words))
+                here = np.where(often, log_p, 0.0) if whole else log_p  # other words' are added when their counts are joined
                 base = np.where(often, np.log10((total[place] if len(known) else 0) + 0.1) - scale, 0.0)
                 doc = np.repeat(np.arange(m), np.diff(w.first))
                 rare = np.flatnonzero(~often[back])
-                pairs, k = np.unique(doc[rare] * len(words) + back[rare], return_counts=True)
-                of = pairs // max(len(words), 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(m + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(words[pairs - of * len(words)].view(np.int64)), pa.array(k)], fields=list(pair)))
+                pairs, k = np.unique(doc[rare] * len(found) + back[rare], return_counts=True)
+                of = pairs // max(len(found), 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(m + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(found[pairs - of * len(found)].view(np.int64)), pa.array(k), pa.array(log_p[pairs - of * len(found)])], fields=list(pair)))
                 many = np.diff(w.first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(many + 1),
                         pa.array(np.bincount(doc, often[back], m).astype(np.int64) + int(ends > 0)), pa.array(np.bincount(doc, base[back], m) + np.log10(ends + 0.1) - scale),
-                        pa.array(np.bincount(doc, log_p[back], m) / np.log(10) + many * np.log10(1 - stop) + np.log10(stop)), lists,
+                        pa.array(np.bincount(doc, here[back], m) / np.log(10) + many * np.log10(1 - stop) + np.log10(stop)), lists,
                     ],
                     ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
                 row += m
                 at += m
 
-    kind = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,k:long>>"
+    kind = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,k:long,p:double>>"
     scored = materialize(rows.mapInArrow(judge, kind), "scored")
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.k").join(totals, "word", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    rest = rare.groupBy("row").agg(F.sum(F.when(F.col("total") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (F.log10(F.col("total") + 0.1) - float(scale))).alias("rest"))
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.k", "w.p").join(totals, "word", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    piece = F.log((F.col("total") - less) / many_words)  # null for unknown words
+    log_p = F.coalesce(F.greatest("p", piece) + F.log1p(F.exp(-F.abs(F.col("p") - piece))), F.col("p")) if whole else F.lit(0.0)
+    rest = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("total") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (F.log10(F.col("total") + 0.1) - float(scale))).alias("rest"), F.sum(F.col("k") * log_p / float(np.log(10))).alias("log_p"),
+    )
     got = scored.drop("rare").join(rest, "row", "left")
-    return got.select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    return got.select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log_p", F.lit(0.0))).alias("score"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 10) == 0
-    return score(documents(spark, sf_dir), ~held).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(documents(spark, sf_dir), ~held, words=True).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -162,6 +162,33 @@ def test_documents_are_scored_by_all_their_segmentations(spark):
         assert got[i].score == pytest.approx(expect, abs=1e-6) and got[i].train_tokens == n
 
 
+def test_training_words_are_pieces_too(spark):
+    # with words a training word is one edge more of its lattice, whether its count is broadcast or joined; scores stay near the base's
+    rows = [(0, "thrwok the Sat thrwok"), (1, "the zlarbix ox"), (2, None), (3, ""), (4, "the thrwok zq"), (5, "x\tthe " + "thrwok zlarbix " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    train = F.col("doc_id") < 4
+    words = lambda t: re.findall(SEP, (t or "").translate(LOWER))
+    seen = Counter(w for _, t in rows[:4] for w in words(t))
+    v = lm.pieces(lm.vocabulary_path())
+    counts = np.zeros(len(v.prior))
+    for w, c in seen.items():
+        for k in v.model.encode(w):
+            counts[k] += c
+    weights = v.placed(counts)
+    assert np.exp(weights)[v.begins].sum() == pytest.approx(1) and np.exp(weights)[~v.begins].sum() == pytest.approx(1)
+    n, once, twice = sum(seen.values()), sum(c == 1 for c in seen.values()), sum(c == 2 for c in seen.values())
+    less, stop = once / (once + 2 * twice), (4 + 1) / (n + 4 + 2)
+    p = {w: max(seen[w] - less, 0) / n + less * len(seen) / n * _marginal(v, weights, w) for _, t in rows for w in words(t)}
+    got = {r.doc_id: r for r in lm.score(docs, train, words=True).collect()}
+    for i, t in rows:
+        assert got[i].score == pytest.approx(math.log10(stop) + sum(math.log10(p[w]) + math.log10(1 - stop) for w in words(t)), abs=1e-6)
+    assert got[5].score > lm.score(docs, train).filter("doc_id = 5").first().score + 10
+    assert abs(got[0].score - got[0].base_score) < 3
+    joined = {r.doc_id: r.score for r in lm.score(docs, train, frequent=1, words=True).collect()}
+    assert joined == pytest.approx({i: r.score for i, r in got.items()})
+    assert lm.score(docs, F.lit(False), words=True).filter("score < 0 and not isnan(score) and score > -1e6").count() == len(rows)
+
+
 def test_rare_words_are_joined(spark, docs, texts):
     # with next to no counts broadcast, all others come by the join; results are the same
     train = F.col("doc_id") % 3 != 0
