@@ -61,3 +61,33 @@ def test_reports(spark):
 def test_leaderboard(spark):
     rows = spark.createDataFrame([("a", 1, 0.2), ("b", 2, 0.9), ("c", 3, 0.2)], "name string, size int, mrr double")
     assert [r.name for r in evaluate.leaderboard(rows).collect()] == ["b", "a", "c"]
+
+
+def test_two_hops_are_formed_once_for_a_head(spark):
+    # random multigraph with loops and inverses, so that queries mask edges of either hop; no row of a query is shuffled before its best entities are known
+    import math
+    import random
+
+    from quern.operators.search import beam, relation_first
+
+    rng = random.Random(5)
+    edges = {(f"a{rng.randrange(9)}", rng.choice(["x", "x_inv", "y", "z"]), f"a{rng.randrange(9)}") for _ in range(120)}
+    asked = rng.sample(sorted(edges), 60) + [("a0", "y", "a0"), ("nobody", "y", "a1")]
+    log_p = {}
+    for h, r, t in edges:
+        log_p[h, r, t] = -math.log(len({b for a, b, _ in edges if a == h})) - math.log(sum((a, b) == (h, r) for a, b, _ in edges))
+    expect, width = set(), 4
+    for h, r, t in asked:
+        inverse = r[:-4] if r.endswith("_inv") else r + "_inv"
+        open_edges = {k: v for k, v in log_p.items() if k not in ((h, r, t), (t, inverse, h))}
+        first = sorted((-round(v, 9), f"{k[1]}:{k[2]}", k[2], v) for k, v in open_edges.items() if k[0] == h)[:width]
+        best = {}
+        for _, path, e, v in first:
+            for k, w in open_edges.items():
+                if k[0] == e:
+                    best[k[2]] = min(best.get(k[2], (9.0, "")), (-round(v + w, 9), f"{path}/{k[1]}:{k[2]}"))
+        expect |= {(f"{h}|{r}|{t}", e, path, round(-s, 6), i) for i, (s, e, path) in enumerate(sorted((s, e, p) for e, (s, p) in best.items())[:width], 1)}
+    q = spark.createDataFrame([(f"{h}|{r}|{t}", h, r, t) for h, r, t in asked], "q string, h string, r string, t string")
+    got = beam(q, relation_first(spark.createDataFrame(sorted(edges), "h string, r string, t string")), 2, width)
+    assert {(x.q, x.e, x.path, round(x.score, 6), x["rank"]) for x in got.collect()} == expect and len(expect) > 150
+    assert "hashpartitioning(q" not in got._jdf.queryExecution().executedPlan().toString()
