@@ -91,3 +91,28 @@ def test_two_hops_are_formed_once_for_a_head(spark):
     got = beam(q, relation_first(spark.createDataFrame(sorted(edges), "h string, r string, t string")), 2, width)
     assert {(x.q, x.e, x.path, round(x.score, 6), x["rank"]) for x in got.collect()} == expect and len(expect) > 150
     assert "hashpartitioning(q" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_facts_whose_first_draw_is_known_take_more_tries(spark, monkeypatch):
+    from hashlib import md5
+
+    from quern.operators import negatives as ng
+
+    sizes = []
+    plain = ng.materialize
+    monkeypatch.setattr(ng, "materialize", lambda df, tag="table": (out := plain(df, tag), sizes.append(out.count()))[0])
+    known = [(f"e{i}", f"r{j}", f"e{k}") for i in range(5) for j in range(3) for k in range(5) if (i + 2 * j + k) % 4]
+    facts = [(*f, ("head", "tail", "relation")[n % 3]) for n, f in enumerate(known)]
+    names, relations = [(f"e{i}", i) for i in range(5)], [(f"r{i}", i) for i in range(3)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = ng.corrupted(frame(facts + facts[:9], "h string, r string, t string, side string"), frame(names, "name string, id long"), frame(relations, "name string, id long"), frame(known + known[:9], "h string, r string, t string")).collect()
+    expect = set()
+    for h, r, t, side in facts:
+        for k in range(1, 6):
+            i = int(md5(f"neg|{k}|{h}|{r}|{t}".encode()).hexdigest()[:12], 16) % (3 if side == "relation" else 5)
+            new = (f"e{i}" if side == "head" else h, f"r{i}" if side == "relation" else r, f"e{i}" if side == "tail" else t)
+            if new not in known:
+                expect.add((h, r, t, side, *new))
+                break
+    assert sorted(map(tuple, got)) == sorted(expect) and 0 < len(expect) < len(facts)
+    assert sizes == [len(facts)]
