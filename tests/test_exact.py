@@ -1,5 +1,6 @@
 """Draws among what isn't known, and scoring in blocks, against plain versions."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,3 +111,34 @@ def test_best_by_products_equals_sorting_all(spark):
             assert sorted(map(tuple, got.collect())) == want
     assert "Broadcast" not in got._jdf.queryExecution().toString()
     assert sc.best_by_products(asked.filter("false"), e).collect() == [] and sc.best_by_products(asked, e.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("name, columns", [
+    ("transe_l1", sc.transe_l1), ("transe_l2", sc.transe_l2), ("distmult", sc.distmult), ("complex", lambda h, r, t: sc.complex_(h, r, t, 4)),
+    ("rotate", lambda h, r, t: sc.rotate(h, r, t, 4)), ("ensemble", lambda h, r, t: (sc.distmult(h, r, t) + sc.transe_l2(h, r, t)) / 2),
+])
+def test_scores_by_matrices_equal_those_by_columns(spark, name, columns):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 8))
+    v[200:260] = v[17]  # ties
+    rows = [(i, v[i].tolist()) for i in range(400)]
+    # what no matrix holds
+    rows += [(400, [*v[1][:7].tolist(), None]), (401, v[1][:3].tolist()), (402, None), (403, [math.inf, *v[2][1:].tolist()])]
+    e = spark.createDataFrame(rows, "e long, t array<double>")
+    q = e.filter("e % 20 = 0").select(F.col("e").alias("q"), F.col("t").alias("h"), F.transform("t", lambda x: x / 2).alias("r"))
+    of = lambda df: sorted((r.q, r.place, r.e, None if r.score is None else round(r.score, 9)) for r in df.collect())
+    want = of(sc.best_tails(q, e, columns, 12))
+    assert of(sc.best_tails(q, e, columns, 12, 1 if name == "rotate" else 1000, sc.TABLES[name], 8)) == want
+    regular = sc.best_tails(q.filter("q < 400"), e.filter("e < 400"), columns, 12, 1000, sc.TABLES[name], 8)
+    plan = regular._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_facts_mined_by_matrices_equal_those_by_columns(spark):
+    v = np.random.default_rng(9).normal(size=(90, 4))
+    e = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)] + [(90, v[0][:2].tolist())], "e long, v array<double>")
+    for one in "ht":
+        asked = e.filter("e % 10 = 0").select(F.col("e").alias(one), F.lit("r").alias("r"), F.col("v").alias(f"{one}v"), F.col("v").alias("rv"))
+        known = spark.createDataFrame([(20, "r"), (21, "r")], "h long, r string")
+        of = lambda **more: sorted((r.h, r.r, r.t, round(r.score, 9)) for r in ng.mined(asked, e, sc.distmult, 0.6, known, one == "t", **more).collect())  # noqa: B023, E731
+        assert of() == of(table=sc.TABLES["distmult"], dim=4)
