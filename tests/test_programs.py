@@ -116,3 +116,21 @@ def test_keys_of_names_with_bars_differ(spark):
     assert len({r[0] for r in df.select(vo.key("h", "r")).collect()}) == 3
     back = df.select(vo.plain(vo.coded("h", "|"), "|").alias("b"), "h").collect()
     assert all(r.b == r.h for r in back)
+
+
+def test_three_hops_over_a_hub_make_no_pairs_of_its_neighbours(spark, monkeypatch):
+    rows = [(f"c{k}", "in", "n") for k in range(200)] + [(f"c{k}", "of", "x") for k in range(200)] + [("n", "in_inv", f"c{k}") for k in range(200)] + [("n", "at", "x")] + [(f"c{k}", "p", f"o{k}") for k in range(200)]
+    g = spark.createDataFrame(rows, "h string, r string, t string")
+    halves, sizes = pt._halves, []
+
+    def counted(e, pairs):
+        out = halves(e, pairs)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(pt, "_halves", counted)
+    got = collected(pt.found_programs(g, g, 3))
+    assert sum(sizes) < 3000
+    # to the others of the hub and on to x
+    assert all(got[f"c{k}", "of", "in/in_inv/of"] == 199 and got[f"c{k}", "of", "in/at"] == 1 for k in range(200))
+    assert got == every_program(rows, rows, 3)
