@@ -134,3 +134,13 @@ def test_three_hops_over_a_hub_make_no_pairs_of_its_neighbours(spark, monkeypatc
     # to the others of the hub and on to x
     assert all(got[f"c{k}", "of", "in/in_inv/of"] == 199 and got[f"c{k}", "of", "in/at"] == 1 for k in range(200))
     assert got == every_program(rows, rows, 3)
+
+
+def test_a_hubs_paths_are_made_by_many_tasks(spark):
+    rows = [(f"c{k}", "in", "n") for k in range(60)] + [("n", "in_inv", f"c{k}") for k in range(60)]
+    g = spark.createDataFrame(rows, "h string, r string, t string")
+    starts = g.select(F.col("h").alias("e")).distinct()
+    of = lambda df: sorted((r.start, r.program, r.end, tuple(r.nodes), r.n) for r in df.collect())
+    dealt = pt.enumerate_paths(starts, g, 2, most=5)
+    assert of(dealt) == of(pt.enumerate_paths(starts, g, 2))
+    assert dealt.filter("n = 2").select(F.spark_partition_id()).distinct().count() > 4
